@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read_table
+from .fingerprints import encode, fingerprint_edits
 from .mixing import mix_sources
 from .packing import pack_batches
+from .secret_scan import joined, scan_secrets
 from .sharding import hilbert_shards
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,14 +21,29 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(read_table(spark, sf_dir, "documents"))
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprint_edits(read_table(spark, sf_dir, "documents"))
+    return found.withColumns({"fingerprint": encode(F.col("sketch")), "edited_fingerprint": encode(F.col("edited_sketch"))}).drop("sketch", "edited_sketch")
+
+
 def op7_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_batches(read_table(spark, sf_dir, "documents"))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(read_table(spark, sf_dir, "documents")).select("doc_id", "spans")
+    count = lambda i: F.size(F.filter("spans", lambda s: s["place"] == i)).cast("long")
+    base = F.filter("spans", lambda s: s["place"] < 3)
+    return found.select(
+        "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
+        F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"),
+    )
+
+
 def op10_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = hilbert_shards(read_table(spark, sf_dir, "documents"), n_shards=24)
     return shards.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "hilbert")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_mix_sources, op7_length_buckets, op10_hilbert_shards)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_mix_sources, op4_fingerprints, op7_length_buckets, op8_secret_scan, op10_hilbert_shards)}
 ORACLES: dict[str, str] = {}
