@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import read_table
 from .fingerprints import encode, fingerprint_edits
+from .jaccard_join import jaccard_components
 from .mixing import mix_sources
 from .packing import pack_batches
 from .secret_scan import joined, scan_secrets
@@ -17,6 +18,10 @@ from .sharding import hilbert_shards
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(read_table(spark, sf_dir, "documents"), shingle=4, percent=85)
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(read_table(spark, sf_dir, "documents"))
 
@@ -45,5 +50,32 @@ def op10_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "hilbert")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_mix_sources, op4_fingerprints, op7_length_buckets, op8_secret_scan, op10_hilbert_shards)}
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_jaccard_join, op3_mix_sources, op4_fingerprints, op7_length_buckets, op8_secret_scan, op10_hilbert_shards)}
+ORACLES: dict[str, str] = {
+    # Pairs come from shared shingles, counted; components by walking the links.
+    "op1_jaccard_join": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+            FROM documents
+        ), s AS (
+            SELECT DISTINCT doc_id, array_to_string(ws[i : i + 3], ' ') AS shingle
+            FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 2, 2))) AS i FROM w WHERE len(ws) > 0)
+        ), n AS (
+            SELECT w.doc_id, count(s.shingle) AS n FROM w LEFT JOIN s USING (doc_id) GROUP BY 1
+        ), shared AS (
+            SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m FROM s a JOIN s b USING (shingle) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2
+        ), links AS (
+            SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * m >= 85 * (x.n + y.n - m)
+        ), reach(doc_id, seen) AS (
+            SELECT doc_id, doc_id FROM n UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.seen
+        ), least AS (
+            SELECT doc_id, min(seen) AS component_id FROM reach GROUP BY 1
+        ), texts AS (
+            SELECT doc_id, CASE WHEN count(shingle) > 0 THEN string_agg(shingle, chr(1) ORDER BY shingle) END AS whole
+            FROM w LEFT JOIN s USING (doc_id) GROUP BY 1
+        )
+        SELECT n.doc_id, n.n AS n_shingles, component_id,
+               CASE WHEN whole IS NULL THEN n.doc_id ELSE min(n.doc_id) OVER (PARTITION BY whole) END AS class_id
+        FROM n JOIN least USING (doc_id) JOIN texts USING (doc_id)
+    """,
+}
