@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read_table
+from .embedding_dedup import near_vectors
 from .fingerprints import encode, fingerprint_edits
 from .jaccard_join import jaccard_components
 from .mixing import mix_sources
@@ -45,12 +46,16 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(read_table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
 def op10_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = hilbert_shards(read_table(spark, sf_dir, "documents"), n_shards=24)
     return shards.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "hilbert")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_jaccard_join, op3_mix_sources, op4_fingerprints, op7_length_buckets, op8_secret_scan, op10_hilbert_shards)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_jaccard_join, op3_mix_sources, op4_fingerprints, op7_length_buckets, op8_secret_scan, op9_embedding_dedup, op10_hilbert_shards)}
 ORACLES: dict[str, str] = {
     # Pairs come from shared shingles, counted; components by walking the links.
     "op1_jaccard_join": r"""
@@ -78,4 +83,23 @@ ORACLES: dict[str, str] = {
                CASE WHEN whole IS NULL THEN n.doc_id ELSE min(n.doc_id) OVER (PARTITION BY whole) END AS class_id
         FROM n JOIN least USING (doc_id) JOIN texts USING (doc_id)
     """,
+    # Every pair, in double precision; components by walking the links.
+    "op9_embedding_dedup": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+        ), ok AS (
+            SELECT vec_id, e FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NOT NULL AND isfinite(x))) = len(e) AND list_max(list_transform(e, lambda x: abs(x))) > 0
+        ), links AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+            WHERE list_cosine_similarity(a.e, b.e) >= 0.9
+        ), reach(vec_id, seen) AS (
+            SELECT vec_id, vec_id FROM v UNION SELECT r.vec_id, l.b FROM reach r JOIN links l ON l.a = r.seen
+        ), least AS (
+            SELECT vec_id, min(seen) AS component_id FROM reach GROUP BY 1
+        ), n AS (
+            SELECT a AS vec_id, count(*) AS n FROM links GROUP BY 1
+        )
+        SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+        FROM least LEFT JOIN n USING (vec_id)
+    """,
 }
