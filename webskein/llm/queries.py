@@ -13,8 +13,10 @@ from .fingerprints import encode, fingerprint_edits
 from .jaccard_join import jaccard_components
 from .mixing import mix_sources
 from .packing import pack_batches
+from .quality import quality
 from .secret_scan import joined, scan_secrets
 from .sharding import hilbert_shards
+from .toxicity import toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +25,11 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read_table(spark, sf_dir, "documents"), shingle=4, percent=85)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "held_out", "score", "predicted", F.size("matches").alias("n_matches"))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(read_table(spark, sf_dir, "documents"))
 
@@ -32,6 +39,10 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns({"fingerprint": encode(F.col("sketch")), "edited_fingerprint": encode(F.col("edited_sketch"))}).drop("sketch", "edited_sketch")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), threshold=0.3)
+
+
 def op7_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_batches(read_table(spark, sf_dir, "documents"))
 
@@ -55,7 +66,7 @@ def op10_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "hilbert")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_jaccard_join, op3_mix_sources, op4_fingerprints, op7_length_buckets, op8_secret_scan, op9_embedding_dedup, op10_hilbert_shards)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_jaccard_join, op2_toxicity, op3_mix_sources, op4_fingerprints, op5_quality, op7_length_buckets, op8_secret_scan, op9_embedding_dedup, op10_hilbert_shards)}
 ORACLES: dict[str, str] = {
     # Pairs come from shared shingles, counted; components by walking the links.
     "op1_jaccard_join": r"""
