@@ -133,3 +133,17 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if not moved:
             release(both)
             return labels.select("node", "component")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared folder, removed when the application ends."""
+    path = f"{shared_dir(spark)}/webskein-{name}-{uuid.uuid4().hex}"
+    made, fs = _path(spark, path)
+    fs.mkdirs(made)
+    fs.deleteOnExit(made)
+    return path
+
+
+def small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """df with a broadcast hint if it has at most so many rows; df should be stored and narrow."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

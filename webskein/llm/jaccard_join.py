@@ -26,10 +26,10 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, materialize, release
+from .common import components, materialize, release, small
 
 #: Frequent tokens that go last in the first order: a bounded table (1 MB), which costs or saves time only.
 FREQUENT_TOKENS = 1 << 17
@@ -234,8 +234,7 @@ def may_link(percent: int) -> Column:
 def verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The pairs (a, b) that link: prefixes under the other orders must meet, then the sets are compared."""
     ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
-    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    sets = materialize(texts.join(wanted, "id", "left_semi").select("id", "body").mapInArrow(whole_sets(shingle, percent), "id long, s array<long>, p2 array<long>, p3 array<long>"), "sets")
+    sets = materialize(texts.join(small(ids, BROADCAST_IDS), "id", "left_semi").select("id", "body").mapInArrow(whole_sets(shingle, percent), "id long, s array<long>, p2 array<long>, p3 array<long>"), "sets")
     of = lambda x: sets.select(F.col("id").alias(x), F.col("s").alias(f"s{x}"), F.col("p2").alias(f"p2{x}"), F.col("p3").alias(f"p3{x}"))
     both = pairs.join(of("a"), "a").join(of("b"), "b").where(F.arrays_overlap("p2a", "p2b") & F.arrays_overlap("p3a", "p3b"))
     shared = F.size(F.array_intersect("sa", "sb"))
@@ -303,3 +302,19 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, percent: int = 80, id_
     rep = F.when(F.col("id").isNotNull(), F.coalesce("rep", "id"))
     out = out.select("id", "n", rep.alias("node")).join(final, "node", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("node").alias("class_id"), F.coalesce("component", "node").alias("component_id"))
+
+
+def keep_one_each(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns as they are, without those that another row stands for.
+
+    Of each component the row of the least id stays, and of rows that share an id one,
+    the first by its text's hash. Texts without words and rows without an id all stay.
+    """
+    found = materialize(jaccard_components(docs, shingle, percent, id_col, text_col).select(F.col(id_col).alias("__id"), "component_id"), "components")
+    gone = materialize(found.where("component_id <> __id").select("__id").distinct(), "gone")
+    again = materialize(found.where("__id is not null").groupBy("__id").agg(F.count("*").alias("n")).where("n > 1").select("__id"), "again")
+    kept = docs.join(small(gone), F.col(id_col) == F.col("__id"), "left_anti")
+    twice = small(again)
+    first = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col), text_col)
+    one = kept.join(twice, F.col(id_col) == F.col("__id"), "left_semi").withColumn("__row", F.row_number().over(first)).where("__row = 1").drop("__row")
+    return kept.join(twice, F.col(id_col) == F.col("__id"), "left_anti").unionByName(one)

@@ -137,3 +137,23 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: int =
         F.col("__id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "passes", "part",
         (F.col("passes") * F.col("size") + F.col("part")).alias("taken"),
     )
+
+
+def take_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows of docs as often as the mix takes them, all columns as they are.
+
+    A row is repeated once for each whole pass. The words of the partial pass become a
+    whole further copy with the chance that is their share of the row's words, drawn by
+    a hash of seed, id and size, so a source's words come near its target. Texts without
+    words, of which the mix takes none, are left out.
+    """
+    keys = ["__id", "__source", "__size"]
+    mix = mix_sources(docs, weights, seed, id_col, text_col, source_col)
+    # Rows that agree in id, source and size may differ in what is taken; they share it.
+    mix = mix.groupBy(F.col(id_col).alias("__id"), F.col(source_col).alias("__source"), F.col("size").alias("__size")).agg(F.avg("taken").alias("__taken"))
+    sized = docs.withColumn("__words", word_count(F.col(text_col)))
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & F.col(source_col).eqNullSafe(F.col("__source")) & (F.col("__words") == F.col("__size"))
+    draw = F.pmod(seeded(seed + 3, F.col("__id"), F.col("__size")), F.lit(1 << 30)) / float(1 << 30)
+    copies = F.floor(F.col("__taken") / F.col("__size") + draw).cast("int")
+    rows = sized.join(mix.where("__taken > 0"), same).withColumn("__copy", F.explode(F.array_repeat(F.lit(1), copies)))
+    return rows.drop(*keys, "__taken", "__words", "__copy")

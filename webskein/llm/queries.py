@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import read_table, scratch
 from .embedding_dedup import near_vectors
 from .fingerprints import encode, fingerprint_edits
 from .jaccard_join import jaccard_components
@@ -16,8 +16,12 @@ from .packing import pack_batches
 from .quality import quality
 from .secret_scan import joined, scan_secrets
 from .sharding import hilbert_shards
+from .token_counts import BytePairs, Words, token_rollup
 from .toxicity import toxicity
 
+#: Where the public vocabularies lie, on the driver.
+TOKENIZERS = "/opt/tokenizers"
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -43,6 +47,11 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), threshold=0.3)
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    subwords = BytePairs("byte-bpe-50k", f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
+    return token_rollup(read_table(spark, sf_dir, "documents"), scratch(spark, "ledger"), subwords, Words("words-1"), Words("letters-2", r"\p{L}+"))
+
+
 def op7_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_batches(read_table(spark, sf_dir, "documents"))
 
@@ -66,7 +75,7 @@ def op10_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "hilbert")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_jaccard_join, op2_toxicity, op3_mix_sources, op4_fingerprints, op5_quality, op7_length_buckets, op8_secret_scan, op9_embedding_dedup, op10_hilbert_shards)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_jaccard_join, op2_toxicity, op3_mix_sources, op4_fingerprints, op5_quality, op6_token_counts, op7_length_buckets, op8_secret_scan, op9_embedding_dedup, op10_hilbert_shards)}
 ORACLES: dict[str, str] = {
     # Pairs come from shared shingles, counted; components by walking the links.
     "op1_jaccard_join": r"""

@@ -213,3 +213,15 @@ def redact(body: Column, found: Column, mark: str = "[SECRET]") -> Column:
 
     rest = lambda acc: F.concat(acc["out"], F.substring(body, (acc["at"] + 1).cast("int"), F.char_length(body)))
     return F.when(F.size(found) > 0, F.aggregate(found, empty, step, rest)).otherwise(body)
+
+
+def redact_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
+    """The rows of docs with a mark in place of each secret, and the length in code points where the
+    text changed; null texts stay null and other columns as they are."""
+    others = tuple(c for c in docs.columns if c != id_col)
+    found = scan_secrets(docs, rules, id_col, text_col, others)
+    hit = F.size("spans") > 0
+    text = F.when(hit, redact(F.col("body"), F.col("spans"))).otherwise(F.col(text_col))
+    found = found.withColumn("__text", text)
+    new = {text_col: F.col("__text"), length_col: F.when(hit, F.char_length("__text")).otherwise(F.col(length_col)).cast(docs.schema[length_col].dataType)}
+    return found.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])

@@ -352,3 +352,15 @@ def toxicity(docs: DataFrame, labels: DataFrame, model: Model | None = None, id_
     model = model or learn(docs, labels, id_col=id_col, text_col=text_col)
     out = scored(docs.select(id_col, text_col), model, id_col, text_col, [])
     return out.select(id_col, held_out(F.col(id_col)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "matches")
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, model: Model | None = None, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns as they are, whose text scores below the threshold; null and empty texts stay."""
+    model = model or learn(docs, labels, id_col=id_col, text_col=text_col)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([model.score(model.total(t)) < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
