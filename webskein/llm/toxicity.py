@@ -26,7 +26,7 @@ from .common import held_out, materialize, seeded
 #: Labelled rows that are learnt from, and terms of the lexicon, at most.
 SAMPLE_ROWS, LEXICON_TERMS = 40_000, 4096
 #: A term is taken if this likelihood ratio statistic and this share of toxic rows are reached.
-LEAST_GAIN, LEAST_SHARE = 15.0, 0.9
+LEAST_GAIN, LEAST_SHARE = 20.0, 0.9
 STEM_LENGTHS = (4, 5, 6, 7)
 #: A term with more clean words than this within its edits is matched only as it is spelt.
 CLEAN_NEIGHBOURS = 2
