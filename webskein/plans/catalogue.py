@@ -1,10 +1,599 @@
-"""The registered queries of the analytics operators, and their SQL."""
+"""The registered queries of the analytics operators, and DuckDB SQL for the same answers.
+
+Every query runs over whole tables. Times are literals, so answers do not move.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import pages as page_functions
+from ..functions import text, urls
+from ..operators import frontier, monitor, scores, search, similar, tables, tags
+from ..sources import extract, views
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+NOW = "2024-03-01 12:00:00"
+
+#: Scored resources for the SQL side.
+SCORED = views.SQL + f""", top AS (
+    SELECT scan_job_id, max(views) AS v, max(likes) AS l, max(hearts) AS h FROM resources GROUP BY 1
+), scored AS (
+    SELECT r.*, round(
+        CASE WHEN v > 0 THEN 0.4::DOUBLE * views / v * 100 ELSE 0 END + CASE WHEN l > 0 THEN 0.3::DOUBLE * likes / l * 100 ELSE 0 END
+        + CASE WHEN h > 0 THEN 0.2::DOUBLE * hearts / h * 100 ELSE 0 END
+        + 0.1::DOUBLE * (100 / (1 + ln(1 + greatest(datediff('day', published_at::DATE, DATE '{NOW[:10]}'), 0)))), 2) AS popularity_score
+    FROM resources r JOIN top USING (scan_job_id)
+)"""
+
+
+def register(sql: str | None = None, prelude: str = "") -> Callable[[Query], Query]:
+    """Add a query under its function's name; prelude: common table expressions that its SQL may use."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = f"WITH RECURSIVE {prelude}\n{sql}" if prelude else sql
+        return f
+
+    return add
+
+
+def _now():
+    return F.lit(NOW).cast("timestamp")
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scores.popularity(views.resources(spark, sf_dir), _now())
+
+
+def _tag_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tags.counts(views.resource_tags(spark, sf_dir))
+
+
+# Scores
+
+
+@register("SELECT id, scan_job_id, popularity_score FROM scored", SCORED)
+def popularity_score(spark, sf_dir):
+    return _scored(spark, sf_dir).select("id", "scan_job_id", "popularity_score")
+
+
+@register(f"SELECT id, round(100 / (1 + ln(1 + greatest(datediff('day', published_at::DATE, DATE '{NOW[:10]}'), 0))), 6) AS recency FROM resources", views.SQL)
+def recency(spark, sf_dir):
+    return views.resources(spark, sf_dir).select("id", F.round(scores.recency(F.col("published_at"), _now()), 6).alias("recency"))
+
+
+@register("SELECT id, title, popularity_score FROM scored ORDER BY popularity_score DESC, id LIMIT 100", SCORED)
+def top_resources(spark, sf_dir):
+    return scores.top_by_score(_scored(spark, sf_dir), 100).select("id", "title", "popularity_score")
+
+
+@register(
+    """SELECT tag, rank, id, popularity_score FROM (
+        SELECT name AS tag, row_number() OVER (PARTITION BY name ORDER BY popularity_score DESC, id)::INTEGER AS rank, id, popularity_score FROM resource_tags JOIN scored USING (id)
+    ) WHERE rank <= 10""",
+    SCORED,
+)
+def tag_top_resources(spark, sf_dir):
+    return scores.top_per_tag(_scored(spark, sf_dir))
+
+
+# Tags
+
+
+@register("SELECT scan_job_id, name, resource_count FROM tags", views.SQL)
+def tag_counts(spark, sf_dir):
+    return _tag_counts(spark, sf_dir)
+
+
+@register("SELECT scan_job_id, name, resource_count, row_number() OVER (PARTITION BY scan_job_id ORDER BY resource_count DESC, name)::INTEGER AS place FROM tags", views.SQL)
+def tag_stats(spark, sf_dir):
+    from pyspark.sql import Window
+
+    by = Window.partitionBy("scan_job_id").orderBy(F.desc("resource_count"), "name")
+    return _tag_counts(spark, sf_dir).withColumn("place", F.row_number().over(by))
+
+
+@register("SELECT scan_job_id, count(DISTINCT name) AS total_tags, count(DISTINCT id) AS total_resources, round(count(*) / count(DISTINCT id), 1) AS avg_tags FROM resource_tags GROUP BY 1", views.SQL)
+def tag_overview(spark, sf_dir):
+    return tags.overview(views.resources(spark, sf_dir))
+
+
+@register("SELECT id, string_agg(name, '|' ORDER BY name) AS tag_names FROM resource_tags GROUP BY 1", views.SQL)
+def resources_with_tags(spark, sf_dir):
+    return tables.with_tags(views.resources(spark, sf_dir).select("id"), views.resource_tags(spark, sf_dir))
+
+
+@register("SELECT a.name AS tag_a, b.name AS tag_b, count(*) AS n FROM resource_tags a JOIN resource_tags b ON a.id = b.id AND a.name < b.name GROUP BY 1, 2", views.SQL)
+def tag_cooccurrence(spark, sf_dir):
+    return tags.cooccurrence(views.resources(spark, sf_dir), k=None)
+
+
+_GRAVITY = """grav AS (
+    SELECT name, count(DISTINCT scan_job_id) AS site_coverage, sum(resource_count)::BIGINT AS volume, sum(popularity_score::DECIMAL(20,2))::DOUBLE AS total, count(*) AS links
+    FROM resource_tags JOIN scored USING (id, scan_job_id) JOIN tags USING (scan_job_id, name) GROUP BY 1 HAVING sum(resource_count) > 2 ORDER BY total DESC, name LIMIT 30
+), gravity AS (
+    SELECT name, site_coverage, volume, round(total / links, 2) AS avg_score, round(total, 1) AS score, round(total / volume, 2) AS gravity FROM grav
+)"""
+
+
+@register("SELECT * FROM gravity", SCORED + ", " + _GRAVITY)
+def tag_gravity(spark, sf_dir):
+    return tags.gravity(_scored(spark, sf_dir), _tag_counts(spark, sf_dir))
+
+
+@register("SELECT * FROM gravity WHERE site_coverage <= 50 ORDER BY score DESC, name LIMIT 5", SCORED + ", " + _GRAVITY)
+def tag_gaps(spark, sf_dir):
+    return tags.gaps(tag_gravity(spark, sf_dir), competitors=50)
+
+
+@register(
+    """SELECT name, recent::BIGINT AS recent, baseline::BIGINT AS baseline, round(recent / (baseline + 1), 4) AS velocity FROM (
+        SELECT name, sum(resource_count) FILTER (WHERE created_at > TIMESTAMP '2024-02-20 12:00:00' - INTERVAL 3 DAY) AS recent,
+               coalesce(sum(resource_count) FILTER (WHERE created_at <= TIMESTAMP '2024-02-20 12:00:00' - INTERVAL 3 DAY), 0) AS baseline
+        FROM tags JOIN scan_jobs ON scan_job_id = scan_jobs.id GROUP BY 1
+    ) WHERE recent IS NOT NULL ORDER BY velocity DESC, recent DESC, name LIMIT 15""",
+    views.SQL,
+)
+def tag_velocity(spark, sf_dir):
+    return tags.velocity(_tag_counts(spark, sf_dir), views.scan_jobs(spark, sf_dir), F.lit("2024-02-20 12:00:00").cast("timestamp"))
+
+
+@register("SELECT name, sum(resource_count)::BIGINT AS total FROM tags GROUP BY 1 ORDER BY total DESC, name LIMIT 30", views.SQL)
+def tag_cloud(spark, sf_dir):
+    return tags.cloud(_tag_counts(spark, sf_dir))
+
+
+# Look-ups and joins
+
+
+@register("SELECT id, title, scan_job_id, popularity_score FROM scored JOIN resource_tags USING (id, scan_job_id) WHERE name = 'Brand#1'", SCORED)
+def resources_by_tag(spark, sf_dir):
+    return _scored(spark, sf_dir).where(F.array_contains("tags", "Brand#1")).select("id", "title", "scan_job_id", "popularity_score")
+
+
+_PAGE_URLS = r"""parts AS (
+    SELECT page_id, url, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)) AS scheme, lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#]*)', 1)) AS netloc,
+           regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '^[^?#]*(\?[^#]*)', 1) AS query FROM pages
+), urls AS (
+    SELECT *, scheme || '://' || netloc || CASE WHEN path IN ('', '/') THEN '/' ELSE regexp_replace(path, '/+$', '') END || CASE WHEN query = '?' THEN '' ELSE query END AS normal,
+           replace(netloc, 'www.', '') AS site FROM parts
+)"""
+
+
+@register("SELECT page_id, normal AS url, md5(normal) AS fingerprint FROM urls", _PAGE_URLS)
+def url_normalize(spark, sf_dir):
+    normal = urls.normalize(F.col("url"))
+    return views.table(spark, sf_dir, "pages").select("page_id", normal.alias("url"), urls.fingerprint(normal).alias("fingerprint"))
+
+
+@register(
+    r"""SELECT page_id, site, regexp_replace(path, '/\d+', '/*', 'g') AS pattern,
+               regexp_matches(lower(path), '/(?:cdn-cgi|login|signup|register|logout|rss|feed|search|history|membership|support|email-protection|track|stats)\b|[-/](?:blob|commits|branches|tags|merge_requests|pipelines|jobs)\b') AS noise,
+               regexp_matches(lower(path), '\.(jpg|jpeg|png|gif|svg|webp|ico|css|js|woff|woff2|ttf|eot|pdf|zip|tar|gz|rar|7z|mp4|mp3|m4a|wav|mkv|avi|wmv|exe|dmg|iso|xml|rss|json|atom)$') AS skipped
+        FROM urls""",
+    _PAGE_URLS,
+)
+def url_filters(spark, sf_dir):
+    u = F.col("url")
+    return views.table(spark, sf_dir, "pages").select("page_id", urls.site(u).alias("site"), urls.pattern(u).alias("pattern"), urls.is_noise(u).alias("noise"), urls.has_skipped_suffix(u).alias("skipped"))
+
+
+@register(
+    r"""SELECT page_id, (50 + CASE WHEN regexp_matches(lower(path), '/(?:archives|v|p|post|item|product|video|article|detail)/\d+|/\d+\.html$|/v/|/p/') THEN 30 ELSE 0 END
+               + greatest(0, (3 - page_id % 5) * 5) + CASE WHEN regexp_matches(lower(path), '\.html?$') THEN 10 ELSE 0 END)::BIGINT AS score FROM urls""",
+    _PAGE_URLS,
+)
+def url_priority(spark, sf_dir):
+    return views.table(spark, sf_dir, "pages").select("page_id", urls.priority(F.col("url"), F.col("page_id") % 5).cast("long").alias("score"))
+
+
+@register("SELECT page_id, url AS entry FROM pages")
+def url_entry(spark, sf_dir):
+    """Whole URLs with the scheme in capitals or left out come back as URLs."""
+    p = views.table(spark, sf_dir, "pages")
+    bare = F.regexp_replace("url", "^https://", "")
+    return p.select("page_id", urls.entry_url(F.concat(F.lit(" "), bare, F.lit(" "))).alias("entry"))
+
+
+@register("SELECT c_custkey, (a IN (0, 10, 127) OR a >= 224 OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b = 168) OR (a = 169 AND b = 254)) AS private FROM (SELECT c_custkey, c_custkey % 256 AS a, (c_custkey * 7) % 256 AS b FROM customer)")
+def private_hosts(spark, sf_dir):
+    host = F.concat_ws(".", F.col("c_custkey") % 256, (F.col("c_custkey") * 7) % 256, F.lit(9), F.lit(8))
+    return views.table(spark, sf_dir, "customer").select("c_custkey", urls.is_private_name(host).alias("private"))
+
+
+@register(
+    """SELECT u.normal AS url, min(u.page_id % 4)::INTEGER AS depth FROM urls u
+       WHERE md5(u.normal) NOT IN (SELECT md5(normal) FROM urls WHERE page_id % 2 = 0) GROUP BY 1""",
+    _PAGE_URLS,
+)
+def new_links_anti(spark, sf_dir):
+    """Each page as a link from its own site, against those visited: every second page."""
+    p = views.table(spark, sf_dir, "pages")
+    seen = p.where("page_id % 2 = 0").select(urls.fingerprint(urls.normalize(F.col("url"))).alias("fp")).distinct()
+    links = p.select(urls.normalize(F.col("url")).alias("url"), (F.col("page_id") % 4).cast("int").alias("depth")).groupBy("url").agg(F.min("depth").alias("depth"))
+    return links.withColumn("fp", urls.fingerprint(F.col("url"))).join(seen, "fp", "left_anti").select("url", "depth")
+
+
+# Page heuristics
+
+
+@register(
+    r"""SELECT page_id, html = '' OR contains(html, '__NEXT_DATA__') OR contains(html, 'data-reactroot') OR contains(html, '__nuxt') OR contains(html, 'document.getElementById(''root'')') OR contains(html, 'react-root')
+               OR (length(trim(regexp_replace(html, '(?s)<script.*?</script>|<style.*?</style>|<.*?>', '', 'g'), E' \t\n\r')) < 300 AND contains(lower(html), 'javascript') AND (contains(lower(html), 'enable') OR contains(lower(html), 'required')))
+               OR length(html) < 1024 AS needs_js FROM pages"""
+)
+def needs_js(spark, sf_dir):
+    return views.table(spark, sf_dir, "pages").select("page_id", page_functions.needs_js(F.col("html")).alias("needs_js"))
+
+
+@register(
+    r"""SELECT page_id, CASE WHEN html = '' THEN 'no_indicator' WHEN regexp_matches(html, '(?i)<script\s+type=["'']?module["'']?') THEN 'spa_shell'
+               WHEN length(html) < 5000 AND length(trim(regexp_replace(regexp_replace(CASE WHEN regexp_matches(html, '(?is)<body[^>]*>.*?</body>') THEN regexp_extract(html, '(?is)<body[^>]*>(.*?)</body>', 1) ELSE html END, '<[^>]+>', '', 'g'), '\s+', ' ', 'g'))) < 100 THEN 'spa_shell'
+               ELSE 'no_indicator' END AS reason FROM pages"""
+)
+def should_render(spark, sf_dir):
+    return views.table(spark, sf_dir, "pages").select("page_id", page_functions.render_reason(F.col("html")).alias("reason"))
+
+
+@register(
+    """SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'connection_timeout' WHEN 1 THEN 'read_timeout' WHEN 2 THEN 'ssl_error' WHEN 3 THEN 'dns_failed'
+               WHEN 4 THEN CASE WHEN event_type = 'error' THEN CASE WHEN event_id % 4 = 0 THEN 'waf_blocked' ELSE 'forbidden' END ELSE 'http_500' END ELSE 'fetch_failed' END AS failure FROM events"""
+)
+def failure_class(spark, sf_dir):
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("connect_timeout", "read_timeout", "ssl", "connection", "http", "other")]), (F.col("event_id") % 6 + 1).cast("int"))
+    status = F.when(F.col("event_type") == "error", 403).otherwise(500)
+    body = F.when(F.col("event_id") % 4 == 0, "Blocked by Cloudflare").otherwise("no entry")
+    return views.table(spark, sf_dir, "events").select("event_id", page_functions.failure_class(kind, status, body).alias("failure"))
+
+
+# Text
+
+
+@register(
+    r"""SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(p_name), '[\p{L}\p{N}_]+')) AS word FROM part)
+       WHERE length(word) > 2 AND word NOT IN ('the','a','an','and','or','but','in','on','with','to','for','of','at','by','is','this','that') AND NOT regexp_matches(word, '^\d+$')
+       GROUP BY 1 ORDER BY n DESC, word LIMIT 20"""
+)
+def keyword_frequency(spark, sf_dir):
+    return text.keyword_frequency(views.resources(spark, sf_dir))
+
+
+@register(
+    """SELECT id, CASE WHEN m = 0 THEN 'Other' WHEN g = m THEN 'Game' ELSE 'Movie' END AS predicted FROM (
+        SELECT id, 2 * (len(regexp_extract_all(lower(p_name), 'anime|manga')) > 0)::INT * 0 AS z, 2 * g1 AS g, 2 * v1 AS v, greatest(2 * g1, 2 * v1) AS m FROM (
+            SELECT id, p_name, (p_name LIKE '%game%')::INT AS g1, (p_name LIKE '%video%')::INT AS v1 FROM resources))""",
+    views.SQL,
+)
+def classify(spark, sf_dir):
+    return views.resources(spark, sf_dir).select("id", text.category(F.col("title"), F.array("category")).alias("predicted"))
+
+
+@register(
+    """SELECT p_partkey AS id, list_aggregate(list_distinct(['x', lower(p_type), p_brand]), 'count')::INTEGER AS n, 'x' || '|' || lower(p_type) || '|' || p_brand AS tags,
+              (length('x') + length(p_type) + length(p_brand)) / 3 >= 2 AS curated FROM part"""
+)
+def keyword_split(spark, sf_dir):
+    got = text.split_keywords(F.concat(F.lit(" x, "), F.lower("p_type"), F.lit("；"), F.col("p_brand"), F.lit("、x")))
+    return views.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), got.alias("t")).select("id", F.size("t").alias("n"), F.array_join("t", "|").alias("tags"), text.curated(F.col("t")).alias("curated"))
+
+
+@register(
+    """SELECT l_orderkey, l_linenumber, (l_quantity * 1000)::BIGINT AS thousands, l_quantity::BIGINT AS plain, (l_quantity * 10000)::BIGINT AS wan FROM lineitem"""
+)
+def metric_numbers(spark, sf_dir):
+    q = F.col("l_quantity").cast("long").cast("string")
+    return views.table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", text.metric_number(F.concat(F.lit("views "), q, F.lit("K"))).alias("thousands"),
+        text.metric_number(F.concat(q, F.lit(" likes"))).alias("plain"), text.metric_number(F.concat(q, F.lit("万"))).alias("wan"),
+    )
+
+
+@register("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS iso, strftime(o_orderdate, '%Y-%m-%d') AS cjk FROM orders")
+def date_normalize(spark, sf_dir):
+    d = F.col("o_orderdate")
+    cjk = F.concat(F.year(d), F.lit("年"), F.month(d), F.lit("月 "), F.dayofmonth(d), F.lit("日"))
+    return views.table(spark, sf_dir, "orders").select("o_orderkey", text.date_of(F.concat(F.lit("on "), F.date_format(d, "yyyy/M/d"))).alias("iso"), text.date_of(cjk).alias("cjk"))
+
+
+@register("SELECT p_partkey AS id, p_name AS chain, p_name AS head, lower(replace(p_name, ' ', '')) AS fingerprint FROM part")
+def title_clean(spark, sf_dir):
+    p = views.table(spark, sf_dir, "part")
+    chain = F.concat(F.lit("  "), F.col("p_name"), F.lit(" ｜ "), F.col("p_type"), F.lit("|Shop"))
+    return p.select(F.col("p_partkey").alias("id"), text.strip_site(chain, True).alias("chain"), text.strip_site(F.concat("p_name", F.lit(" - Shop")), False).alias("head"), text.title_fingerprint(F.col("p_name")).alias("fingerprint"))
+
+
+@register("SELECT p_partkey AS id, 'https://c.example/' || p_partkey || '-' || greatest(p_size, 25) || '.jpg' AS cover, TRUE AS ok, FALSE AS bad FROM part")
+def cover_urls(spark, sf_dir):
+    """The widest of two candidates, and whether covers pass."""
+    one = lambda w: F.concat(F.lit("https://c.example/"), F.col("p_partkey"), F.lit("-"), w, F.lit(".jpg "), w, F.lit("w"))
+    best = text.srcset_best(F.concat(one(F.lit(25)), F.lit(", "), one(F.col("p_size"))))
+    return views.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), best.alias("cover"), text.valid_cover(best).alias("ok"), text.valid_cover(F.lit("https://c.example/site-logo.png")).alias("bad"))
+
+
+_SIMHASH = """words AS (
+    SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> '') AS w FROM documents
+), grams AS (
+    SELECT doc_id, unnest(w) AS g FROM words UNION ALL SELECT doc_id, w[i] || ' ' || w[i + 1] FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM words)
+), hashes AS (
+    SELECT doc_id, ('0x' || substr(sha256(g), 1, 16))::UBIGINT AS h FROM grams
+), bits AS (
+    SELECT doc_id, i, sum(CASE WHEN (h >> i) & 1 = 1 THEN 1 ELSE -1 END) AS v FROM hashes, (SELECT unnest(range(64)) AS i) GROUP BY 1, 2
+), prints AS (
+    SELECT doc_id, lpad(lower(to_hex(coalesce(sum(CASE WHEN v > 0 THEN (1::UBIGINT << i::UBIGINT) ELSE 0::UBIGINT END), 0)::UBIGINT)), 16, '0') AS simhash FROM documents LEFT JOIN bits USING (doc_id) GROUP BY 1
+)"""
+
+
+@register("SELECT doc_id, simhash FROM prints", _SIMHASH)
+def simhash(spark, sf_dir):
+    return text.simhash(views.table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def _items(spark, sf_dir):
+    docs = views.table(spark, sf_dir, "documents")
+    made = text.simhash(docs, "doc_id", "text")
+    lang = docs.select("doc_id", "lang", "n_chars", F.substring("text", 1, 40).alias("title"), "source")
+    return made.join(lang, "doc_id").select(F.col("doc_id").alias("id"), F.col("lang").alias("scan_job_id"), "simhash", F.col("n_chars").cast("double").alias("popularity_score"), "title", F.array("source", "lang").alias("tags"))
+
+
+@register(
+    """SELECT p.doc_id AS id, bit_count(xor(('0x' || p.simhash)::UBIGINT, ('0x' || t.simhash)::UBIGINT)::BIT)::INTEGER AS distance, n_chars::DOUBLE AS popularity_score
+       FROM prints p JOIN documents d USING (doc_id), (SELECT lang, simhash, doc_id AS tid FROM prints JOIN documents USING (doc_id) WHERE doc_id = (SELECT min(doc_id) FROM documents)) t
+       WHERE d.lang = t.lang AND p.doc_id <> t.tid AND bit_count(xor(('0x' || p.simhash)::UBIGINT, ('0x' || t.simhash)::UBIGINT)::BIT) <= 15 ORDER BY distance, popularity_score DESC, id LIMIT 5""",
+    _SIMHASH,
+)
+def similar_items(spark, sf_dir):
+    items = _items(spark, sf_dir)
+    first = views.table(spark, sf_dir, "documents").agg(F.min("doc_id").alias("id"))
+    return similar.similar_items(items, items.join(F.broadcast(first), "id"))
+
+
+@register()
+def clusters(spark, sf_dir):
+    return similar.leader_clusters(_items(spark, sf_dir))
+
+
+@register()
+def cluster_report(spark, sf_dir):
+    items = _items(spark, sf_dir)
+    return similar.cluster_report(items, similar.leader_clusters(items))
+
+
+@register("SELECT p_partkey AS id FROM part WHERE regexp_matches(lower(p_name), '\\bsmall ri')")
+def search_phrase(spark, sf_dir):
+    return search.search(views.resources(spark, sf_dir), "small ri*", k=1_000_000).select("id")
+
+
+@register()
+def search_ranked(spark, sf_dir):
+    return search.search(views.resources(spark, sf_dir), "small ring")
+
+
+# Extraction: pages are made from columns, so the columns are the answer.
+
+
+def _synthetic(spark, sf_dir):
+    meta = lambda k, v: F.concat(F.lit(f'<meta property="{k}" content="'), v, F.lit('">'))
+    html = F.concat(
+        F.lit("<html><head><title>x - Site</title>"), meta("og:title", F.col("title")), meta("og:image", F.concat(F.lit("https://c.example/"), F.col("id"), F.lit(".jpg"))), meta("article:section", F.col("category")),
+        meta("article:published_time", F.col("published_at")), F.lit('<script type="application/ld+json">{"@type":"VideoObject","interactionStatistic":[{"interactionType":{"@type":"WatchAction"},"userInteractionCount":'),
+        F.col("views"), F.lit('}]}</script></head><body><article><h1>Other</h1><p>likes '), F.col("likes"), F.lit("<p>hearts "), F.col("hearts"),
+        F.lit('<p><a href="/tag/a/">'), F.col("category"), F.lit('</a><a rel="tag" href="/x">b&amp;c</a><a href="#top">top</a><a href="mailto:a@b.c">m</a></article></body></html>'),
+    )
+    return views.resources(spark, sf_dir).select(F.col("id").alias("page_id"), F.concat(F.lit("https://shop.example/item/"), "id").alias("url"), html.alias("html"))
+
+
+@register("SELECT id AS page_id, 'detail' AS page_type, title, 'https://c.example/' || id || '.jpg' AS cover_url, views, likes, hearts, category, published_at, category || '|b&c' AS tags, 'opengraph' AS title_from, 'jsonld' AS views_from, CASE WHEN likes > 0 THEN 'dom' ELSE 'missing' END AS likes_from FROM resources", views.SQL)
+def extract_detail(spark, sf_dir):
+    r = extract.resources(extract.parsed(_synthetic(spark, sf_dir)))
+    return r.select("page_id", "page_type", "title", "cover_url", "views", "likes", "hearts", "category", "published_at", F.array_join("tags", "|").alias("tags"), F.col("provenance")["title"].alias("title_from"), F.col("provenance")["views"].alias("views_from"), F.col("provenance")["likes"].alias("likes_from"))
+
+
+@register("SELECT id AS page_id, 'https://shop.example/tag/a/,https://shop.example/x' AS links FROM resources", views.SQL)
+def extract_links(spark, sf_dir):
+    return extract.parsed(_synthetic(spark, sf_dir)).select("page_id", F.array_join("links", ",").alias("links"))
+
+
+@register(
+    """SELECT p_size::BIGINT AS page_id, 'tag' AS page_type, p_name AS title, 'https://shop.example/part/' || p_partkey AS url, 'https://shop.example/c/' || p_partkey || '.png' AS cover_url FROM part WHERE p_size IN (SELECT p_size FROM part GROUP BY 1 HAVING count(*) > 1)"""
+)
+def extract_list(spark, sf_dir):
+    """A page a scan with a card for each of its resources."""
+    card = F.concat(F.lit('<div class="card"><a href="/part/'), "p_partkey", F.lit('"><img src="/c/'), "p_partkey", F.lit('.png"></a><h3>'), "p_name", F.lit("</h3></div>"))
+    pages = views.table(spark, sf_dir, "part").groupBy(F.col("p_size").cast("long").alias("page_id")).agg(F.concat(F.lit("<html><body>"), F.array_join(F.collect_list(card), ""), F.lit("</body></html>")).alias("html"))
+    return extract.resources(extract.parsed(pages.withColumn("url", F.lit("https://shop.example/tag/all/")))).select("page_id", "page_type", "title", "url", "cover_url")
+
+
+@register(
+    """SELECT page_id, len(regexp_extract_all(html, '<a ')) AS anchors, trim(replace(regexp_extract(html, '<h1[^>]*>([^<]*)', 1), '&amp;', '&')) AS title FROM pages"""
+)
+def page_resources(spark, sf_dir):
+    r = extract.resources(extract.parsed(views.table(spark, sf_dir, "pages"), "modular"))
+    return r.select("page_id", F.regexp_extract("content_dna", "_L(\\d+)_", 1).cast("long").alias("anchors"), F.trim("title").alias("title"))
+
+
+@register()
+def page_types(spark, sf_dir):
+    return extract.parsed(views.table(spark, sf_dir, "pages")).select("page_id", "page_type", F.size("links").alias("n_links"), F.size("resources").alias("n_resources"))
+
+
+# Persistence
+
+
+@register("SELECT url, title FROM (SELECT 'https://shop.example/part/' || p_partkey AS url, p_name AS title, p_size FROM part) WHERE p_size > 25")
+def insert_if_absent(spark, sf_dir):
+    r = views.resources(spark, sf_dir)
+    batch = r.select("url", "title", F.col("id").alias("seq")).unionByName(r.select("url", F.lit("again").alias("title"), (F.col("id") + 10**9).alias("seq")))
+    return tables.insert_if_absent(r.where("scan_job_id <= 25").select("url"), batch, ["url"], "seq").select("url", "title")
+
+
+_VAULT = """SELECT 'https://shop.example/' || title AS url, max_by(title, id) AS title, max_by(category, id) AS category, max(popularity_score) AS popularity_score,
+       min_by(published_at, id) AS first_seen_at, max_by(published_at, id) AS last_updated_at FROM scored GROUP BY 1"""
+
+
+@register(_VAULT, SCORED)
+def vault_upsert(spark, sf_dir):
+    """Resources by title, half of them merged into a vault that has the other half."""
+    s = _scored(spark, sf_dir).select(F.concat(F.lit("https://shop.example/"), "title").alias("url"), "title", F.lit("").alias("cover_url"), "category", F.array_join("tags", ", ").alias("tags"), F.lit("").alias("content_fingerprint"), "popularity_score", F.col("published_at").alias("seen_at"), F.col("id").alias("seq"))
+    half = s.agg(F.expr("max(seq) div 2")).first()[0] or 0
+    vault = tables.vault_merge(None, s.where(F.col("seq") <= half))
+    merged = tables.vault_merge(vault, s.where(F.col("seq") > half))
+    return merged.select("url", "title", "category", "popularity_score", "first_seen_at", "last_updated_at")
+
+
+@register("SELECT scan_job_id, min(id) AS id, category, max(views) AS views, max(likes) AS likes, max(hearts) AS hearts, count(*) AS merged FROM resources GROUP BY scan_job_id, category", views.SQL)
+def dedupe_dna(spark, sf_dir):
+    r = views.resources(spark, sf_dir).withColumn("content_dna", F.col("category")).withColumn("seq", F.col("id"))
+    return tables.dedupe_resources(r).select("scan_job_id", "id", "category", "views", "likes", "hearts", "merged")
+
+
+@register("SELECT 'resources' AS name, count(*) AS n FROM resources WHERE scan_job_id <> 7 UNION ALL SELECT 'scan_jobs', count(*) FROM scan_jobs WHERE id <> 7 UNION ALL SELECT 'resource_tags', count(*) FROM resource_tags WHERE scan_job_id <> 7", views.SQL)
+def cascade_delete(spark, sf_dir):
+    kept = tables.cascade_delete({"resources": views.resources(spark, sf_dir), "scan_jobs": views.scan_jobs(spark, sf_dir), "resource_tags": views.resource_tags(spark, sf_dir)}, 7)
+    one = lambda n: kept[n].agg(F.count("*").alias("n")).select(F.lit(n).alias("name"), "n")
+    return one("resources").unionByName(one("scan_jobs")).unionByName(one("resource_tags"))
+
+
+def _cache(spark, sf_dir):
+    e = views.table(spark, sf_dir, "events").where("event_type = 'view'")
+    return e.select(F.col("user_id").cast("string").alias("url"), F.md5(F.col("event_id").cast("string")).alias("etag"), F.col("event_id").alias("size_bytes"), F.col("ts").alias("cached_at"), F.col("event_id").alias("seq"))
+
+
+_CACHE = "cache AS (SELECT user_id::VARCHAR AS url, max_by(md5(event_id::VARCHAR), event_id) AS etag, max(event_id) AS size_bytes, max_by(ts, event_id) AS cached_at FROM events WHERE event_type = 'view' GROUP BY 1)"
+
+
+@register("SELECT url, etag, size_bytes FROM cache WHERE cached_at >= TIMESTAMP '2024-01-30' - INTERVAL 7 DAY", _CACHE)
+def cache_ttl(spark, sf_dir):
+    return tables.cache_alive(tables.cache_upsert(None, _cache(spark, sf_dir)), F.lit("2024-01-30").cast("timestamp")).select("url", "etag", "size_bytes")
+
+
+@register("SELECT count(*) AS entries, sum(size_bytes)::BIGINT AS bytes FROM cache", _CACHE)
+def cache_metrics(spark, sf_dir):
+    return tables.cache_metrics(tables.cache_upsert(None, _cache(spark, sf_dir)))
+
+
+@register("SELECT c_mktsegment AS url, max_by(c_name, c_custkey) AS label, max_by(c_nationkey, c_custkey)::INTEGER AS frequency_hours, min(c_custkey) AS created_at FROM customer GROUP BY 1")
+def watchlist(spark, sf_dir):
+    c = views.table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("url"), F.col("c_name").alias("label"), F.col("c_nationkey").alias("frequency_hours"), F.col("c_custkey").alias("created_at"), F.col("c_custkey").alias("seq"))
+    return tables.watchlist_upsert(None, c)
+
+
+@register("SELECT site AS domain, count(*) AS success_count, max_by(scheme, page_id) AS container_selector, min_by(path, page_id) AS title_selector, max(page_id) AS last_updated FROM urls GROUP BY 1", _PAGE_URLS)
+def site_profile(spark, sf_dir):
+    u = F.col("url")
+    p = views.table(spark, sf_dir, "pages").select(urls.site(u).alias("domain"), urls.scheme(u).alias("container_selector"), urls.path(u).alias("title_selector"), F.col("page_id").alias("saved_at"), F.col("page_id").alias("seq"))
+    return tables.site_profiles(p)
+
+
+# Monitoring
+
+
+@register("SELECT event_type, count(*) AS n FROM events GROUP BY 1")
+def event_counts(spark, sf_dir):
+    return monitor.event_counts(views.table(spark, sf_dir, "events"))
+
+
+@register("SELECT count(*) AS total, count(*) FILTER (WHERE event_type = 'error') AS failed, round(100 * count(*) FILTER (WHERE event_type = 'error') / count(*), 2) AS failure_rate FROM events")
+def failure_rate(spark, sf_dir):
+    return monitor.failure_rate(views.table(spark, sf_dir, "events"), "error")
+
+
+def _crawl(spark, sf_dir):
+    e = views.table(spark, sf_dir, "events")
+    status = F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "click", "pending").otherwise("fetched")
+    return e.select(F.col("user_id").alias("scan_job_id"), status.alias("status"), F.concat(F.lit("r"), F.col("event_id") % 3).alias("failure_reason"), F.col("value").alias("page_ms"), "event_id", "ts")
+
+
+_CRAWL = "crawl AS (SELECT user_id AS scan_job_id, CASE event_type WHEN 'error' THEN 'failed' WHEN 'click' THEN 'pending' ELSE 'fetched' END AS status, 'r' || event_id % 3 AS failure_reason, value AS page_ms, event_id, ts FROM events)"
+
+
+@register("SELECT scan_job_id, count(*) AS pages, count(*) FILTER (WHERE status = 'failed') AS failed, coalesce(max(n), 0) AS resources FROM crawl LEFT JOIN (SELECT p_size::BIGINT AS scan_job_id, count(*) AS n FROM part GROUP BY 1) USING (scan_job_id) GROUP BY 1", _CRAWL)
+def job_stats(spark, sf_dir):
+    r = views.resources(spark, sf_dir).withColumn("scan_job_id", F.col("scan_job_id").cast("long"))
+    return monitor.job_stats(_crawl(spark, sf_dir), r).drop("avg_page_ms")
+
+
+@register(
+    """SELECT scan_job_id, fetched, pending, failed, coalesce(top_reason, '') AS top_reason, CASE WHEN failed > 0 THEN 'failed: ' || top_reason WHEN fetched > 0 THEN 'fetched without resources' WHEN pending > 0 THEN 'not started' ELSE 'no pages' END AS verdict FROM (
+        SELECT scan_job_id, count(*) FILTER (WHERE status = 'fetched') AS fetched, count(*) FILTER (WHERE status = 'pending') AS pending, count(*) FILTER (WHERE status = 'failed') AS failed FROM crawl GROUP BY 1
+    ) LEFT JOIN (SELECT scan_job_id, first(failure_reason ORDER BY n DESC, failure_reason) AS top_reason FROM (SELECT scan_job_id, failure_reason, count(*) AS n FROM crawl WHERE status = 'failed' GROUP BY 1, 2) GROUP BY 1) USING (scan_job_id)""",
+    _CRAWL,
+)
+def diagnosis(spark, sf_dir):
+    return monitor.diagnosis(_crawl(spark, sf_dir))
+
+
+@register("SELECT scan_job_id, first(status ORDER BY (status = 'failed') DESC, event_id DESC) AS status, first(event_id ORDER BY (status = 'failed') DESC, event_id DESC) AS event_id FROM crawl GROUP BY 1", _CRAWL)
+def progress_latest(spark, sf_dir):
+    return monitor.latest_progress(_crawl(spark, sf_dir).select("scan_job_id", "status", "event_id"), "scan_job_id", "event_id")
+
+
+@register("SELECT scan_job_id, CASE WHEN status = 'pending' THEN 'pending' ELSE 'visited' END AS state, count(*) AS n FROM crawl GROUP BY 1, 2", _CRAWL)
+def resume_split(spark, sf_dir):
+    return frontier.resume_split(_crawl(spark, sf_dir))
+
+
+@register("SELECT (SELECT count(*) FROM part) AS resources, (SELECT count(DISTINCT p_size) FROM part) AS jobs, (SELECT count(*) FROM crawl WHERE status = 'failed') AS failed_pages, (SELECT count(DISTINCT scan_job_id) FROM crawl WHERE status = 'pending') AS active_jobs", _CRAWL)
+def ops_metrics(spark, sf_dir):
+    p = views.table(spark, sf_dir, "part").agg(F.count("*").alias("resources"), F.countDistinct("p_size").alias("jobs"))
+    c = _crawl(spark, sf_dir).agg(F.count_if(F.col("status") == "failed").alias("failed_pages"), F.countDistinct(F.when(F.col("status") == "pending", F.col("scan_job_id"))).alias("active_jobs"))
+    return p.join(c)
+
+
+@register("SELECT user_id, max(ts) AS ts, max_by(event_type, (ts, event_id)) AS event_type FROM events GROUP BY 1")
+def latest_by_key(spark, sf_dir):
+    return tables.latest_by(views.table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type"), ["user_id"], "ts", "event_id").select("user_id", "ts", "event_type")
+
+
+# Frontier
+
+
+@register(
+    """SELECT normal AS url, (50 + CASE WHEN regexp_matches(lower(path), '/(?:archives|v|p|post|item|product|video|article|detail)/\\d+|/\\d+\\.html$|/v/|/p/') THEN 30 ELSE 0 END + 15 + CASE WHEN regexp_matches(lower(path), '\\.html?$') THEN 10 ELSE 0 END)::BIGINT AS score
+       FROM urls ORDER BY score DESC, url, page_id LIMIT 50""",
+    _PAGE_URLS,
+)
+def frontier_batch(spark, sf_dir):
+    u = urls.normalize(F.col("url"))
+    f = views.table(spark, sf_dir, "pages").select(u.alias("url"), F.lit(0).alias("depth"), urls.priority(F.col("url"), F.lit(0)).cast("long").alias("score"))
+    return frontier.next_batch(f, 50).select("url", "score")
+
+
+@register(
+    """SELECT node, min(depth) AS depth FROM walk GROUP BY 1""",
+    "walk AS (SELECT 1::BIGINT AS node, 0 AS depth UNION ALL SELECT dst, depth + 1 FROM walk JOIN (SELECT p_partkey // 2 AS src, p_partkey AS dst FROM part WHERE p_partkey > 1) ON src = node WHERE depth < 6)",
+)
+def bfs_crawl(spark, sf_dir):
+    edges = views.table(spark, sf_dir, "part").where("p_partkey > 1").select(F.expr("p_partkey div 2").alias("src"), F.col("p_partkey").alias("dst"))
+    seeds = spark.range(1, 2).select(F.col("id").alias("node"))
+    return frontier.reachable(edges, seeds, 6, checkpoint=lambda df: df)
+
+
+# Export
+
+
+@register(
+    """SELECT id, title || ',' || string_agg(name, '; ' ORDER BY name) AS line FROM resources JOIN resource_tags USING (id, scan_job_id) GROUP BY id, title""",
+    views.SQL,
+)
+def export_csv(spark, sf_dir):
+    return views.resources(spark, sf_dir).select("id", F.concat("title", F.lit(","), F.array_join(F.array_sort("tags"), "; ")).alias("line"))
+
+
+@register("""SELECT p_partkey AS id, '{"title":"' || p_name || '","category":"' || p_type || '","provenance":{"title":"dom"}}' AS line FROM part""")
+def export_json(spark, sf_dir):
+    return views.resources(spark, sf_dir).select("id", F.to_json(F.struct("title", "category", F.create_map(F.lit("title"), F.lit("dom")).alias("provenance"))).alias("line"))
+
+
+@register("SELECT event_id, 'r' || CASE WHEN event_id % 2 = 0 THEN regexp_extract(props, '(\\d+)', 1) ELSE '' END AS k FROM events")
+def provenance_json(spark, sf_dir):
+    """Broken JSON reads as an empty map."""
+    broken = F.when(F.col("event_id") % 2 == 0, F.col("props")).otherwise(F.concat(F.lit("x"), "props"))
+    read = F.coalesce(F.from_json(broken, "map<string,string>"), F.create_map().cast("map<string,string>"))
+    return views.table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("r"), F.coalesce(F.try_element_at(read, F.lit("k")), F.lit(""))).alias("k"))
