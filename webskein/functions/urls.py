@@ -8,6 +8,7 @@ import ipaddress
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 URI = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(\?[^#]*)?(#.*)?$"
 
@@ -112,7 +113,7 @@ def is_private_name(host: Column) -> Column:
     return F.lower(host).isin(*PRIVATE_NAMES) | F.coalesce(ranges, F.lit(False)) | F.lower(F.regexp_replace(host, r"^\[|\]$", "")).rlike("^(::1?|f[cd][0-9a-f]{2}:.*|fe[89ab][0-9a-f]:.*|ff[0-9a-f]{2}:.*)$")
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def is_private_host(host: pd.Series) -> pd.Series:
     """Like is_private_name, for every form of IPv4 and IPv6 literal. Names are not resolved."""
 

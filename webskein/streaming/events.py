@@ -34,8 +34,7 @@ def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "append"
 def coalesce_progress(events: DataFrame, key: str = "job", ts: str = "ts", status: str = "status", gap_ms: int = 250) -> DataFrame:
     """What a watcher is shown: of each job, an event at most every gap_ms, and its first terminal one, after which nothing.
 
-    Applied to a stream as to a table. State is the time last shown and whether the job
-    has ended, for each job.
+    State is the time last shown and whether the job has ended, for each job.
     """
     import pandas as pd
 
