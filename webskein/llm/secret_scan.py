@@ -15,6 +15,8 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize, small
+
 try:
     from re import _constants as sre, _parser as sre_parse
 except ImportError:  # before Python 3.11
@@ -172,30 +174,33 @@ def spans(body: Column, rule: Rule, place: int) -> Column:
     return F.when(F.regexp_like(body, rx), F.aggregate(pairs, empty, step, lambda acc: acc["out"])).otherwise(F.array().cast(SPAN))
 
 
-def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """The secrets of every whole text: id_col, keep columns, body, spans (start, place, end, kind), by start and then place.
-
-    Offsets are code points, end exclusive; spans of one kind do not overlap, those of
-    different kinds may. Null texts count as empty and have no spans, as empty texts;
-    null ids are rows like others; repeated rows are each scanned; an empty table gives
-    no rows. Other columns are not read. Texts that are equal share one key of the
-    index; a key that two texts share by accident only adds candidates.
-    """
+def _found(docs: DataFrame, rules: tuple[Rule, ...], id_col: str, text_col: str, keep: list[str]) -> DataFrame:
+    """__id, the kept columns as __k0 and so on, body (null texts empty), spans."""
     queries = {i: trigram_query(r.regex) for i, r in enumerate(rules)}
-    texts = docs.select(F.col(id_col).alias("__id"), *[F.col(c).alias(f"__k_{c}") for c in keep], F.coalesce(F.col(text_col), F.lit("")).alias("body"))
+    texts = docs.select(F.col(id_col).alias("__id"), *[F.col(c).alias(f"__k{i}") for i, c in enumerate(keep)], F.coalesce(F.col(text_col), F.lit("")).alias("body"))
     texts = texts.withColumn("key", F.xxhash64("body"))
-    indexed = [i for i, q in queries.items() if q]
+    indexed = {i: q for i, q in queries.items() if q}
     if indexed:
-        from .common import materialize
-
-        trigrams = sorted({t for i in indexed for seg in queries[i] for alt in seg for t in alt})
-        found = materialize(candidates(postings(texts, trigrams), {i: queries[i] for i in indexed}), "candidates")
-        texts = texts.join(F.broadcast(found) if found.count() <= BROADCAST_KEYS else found, "key", "left")
+        trigrams = sorted({t for q in indexed.values() for seg in q for alt in seg for t in alt})
+        found = materialize(candidates(postings(texts, trigrams), indexed), "candidates")
+        texts = texts.join(small(found, BROADCAST_KEYS), "key", "left")
     each = []
     for i, rule in enumerate(rules):
         own = spans(F.col("body"), rule, i)
         each.append(F.when(F.array_contains("rules", i), own).otherwise(F.array().cast(SPAN)) if queries[i] else own)
-    return texts.select(F.col("__id").alias(id_col), *[F.col(f"__k_{c}").alias(c) for c in keep], "body", F.sort_array(F.concat(*each)).alias("spans"))
+    return texts.select("__id", *[f"__k{i}" for i in range(len(keep))], "body", F.sort_array(F.concat(*each)).alias("spans"))
+
+
+def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The secrets of every whole text: id_col, body, spans (start, place, end, kind), by start and then place.
+
+    Offsets are code points, end exclusive; spans of one kind do not overlap, those of
+    different kinds may. Null texts count as empty and have no spans, as empty texts;
+    null ids are rows like others; repeated rows are each scanned; an empty table gives
+    no rows. Other columns are not read. Texts that are equal share one key of the
+    index; a key that two texts share by accident only adds candidates.
+    """
+    return _found(docs, rules, id_col, text_col, []).withColumnRenamed("__id", id_col)
 
 
 def joined(found: Column) -> Column:
@@ -218,10 +223,9 @@ def redact(body: Column, found: Column, mark: str = "[SECRET]") -> Column:
 def redact_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
     """The rows of docs with a mark in place of each secret, and the length in code points where the
     text changed; null texts stay null and other columns as they are."""
-    others = tuple(c for c in docs.columns if c != id_col)
-    found = scan_secrets(docs, rules, id_col, text_col, others)
+    found = _found(docs, rules, id_col, text_col, docs.columns)
     hit = F.size("spans") > 0
-    text = F.when(hit, redact(F.col("body"), F.col("spans"))).otherwise(F.col(text_col))
-    found = found.withColumn("__text", text)
-    new = {text_col: F.col("__text"), length_col: F.when(hit, F.char_length("__text")).otherwise(F.col(length_col)).cast(docs.schema[length_col].dataType)}
-    return found.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])
+    old = {c: F.col(f"__k{i}") for i, c in enumerate(docs.columns)}
+    found = found.withColumn("__text", F.when(hit, redact(F.col("body"), F.col("spans"))).otherwise(old[text_col]))
+    new = {text_col: F.col("__text"), length_col: F.when(hit, F.char_length("__text")).otherwise(old[length_col]).cast(docs.schema[length_col].dataType)}
+    return found.select(*[new.get(c, old[c]).alias(c) for c in docs.columns])
