@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
 from functools import reduce
+from hashlib import sha256
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -108,20 +113,23 @@ def hamming(a: Column, b: Column) -> Column:
     return F.coalesce(F.bit_count(number(a).bitwiseXOR(number(b))), F.lit(64))
 
 
+def simhash_of(text: str | None) -> str:
+    """16 hex digits: words and pairs of words, as often as they occur, vote with the bits of the first eight bytes of their SHA-256."""
+    words = (text or "").lower().split()
+    if not words:
+        return ZERO_SIMHASH
+    grams = Counter([*words, *map(" ".join, zip(words, words[1:]))])
+    bits = np.unpackbits(np.frombuffer(b"".join(sha256(g.encode()).digest()[:8] for g in grams), dtype=np.uint8).reshape(-1, 8), axis=1)
+    count = np.fromiter(grams.values(), dtype=np.int64, count=len(grams))
+    votes = 2 * (count @ bits) - count.sum()
+    return np.packbits(votes > 0).tobytes().hex()
+
+
 def simhash(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """key and simhash (16 hex digits) of each row: words and pairs of words vote with the bits of their SHA-256.
-
-    A vote is counted over distinct grams of a row: two numbers of 32 bits are enough for
-    the 64 sums, which are added without another shuffle of the grams. Blank texts have
-    16 zeros. Keys should be unique; rows of one key vote together.
-    """
-    words = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"(?U)\s+"), lambda w: w != "")
-    parts = rows.select(key, words.alias("w"))
-    pairs = F.when(F.size("w") > 1, F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w") - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
-    grams = parts.select(key, F.explode(F.concat("w", pairs)).alias("g")).select(key, F.substring(F.sha2("g", 256), 1, 16).alias("h"))
-    halves = grams.select(key, F.conv(F.substring("h", 1, 8), 16, 10).cast("long").alias("hi"), F.conv(F.substring("h", 9, 8), 16, 10).cast("long").alias("lo"))
-    vote = lambda half, i: F.sum(F.shiftright(half, i).bitwiseAND(F.lit(1)) * 2 - 1)
-    sums = halves.groupBy(key).agg(*[vote("hi", i).alias(f"h{i}") for i in range(32)], *[vote("lo", i).alias(f"l{i}") for i in range(32)])
-    word = lambda p: F.lpad(F.lower(F.hex(sum((F.when(F.col(f"{p}{i}") > 0, F.lit(1 << i)).otherwise(F.lit(0)) for i in range(32)), F.lit(0).cast("long")))), 8, "0")
-    made = sums.select(F.col(key).alias("__key"), F.concat(word("h"), word("l")).alias("simhash"))
-    return rows.select(key).join(made, F.col(key).eqNullSafe(F.col("__key")), "left").select(key, F.coalesce("simhash", F.lit(ZERO_SIMHASH)).alias("simhash"))
+    """key and simhash of each row; blank texts have 16 zeros. A row's votes are counted where the row is: nothing is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([simhash_of(t.as_py()) for t in batch.column(1)], pa.string())], names=[key, "simhash"])
+
+    return rows.select(key, text).mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, simhash string")
