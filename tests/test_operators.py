@@ -191,3 +191,34 @@ def test_progress(spark, tmp_path):
     streaming.run_once(shown, str(tmp_path / "out"), str(tmp_path / "ck"))
     shown = spark.read.parquet(str(tmp_path / "out"))
     assert sorted((r.job, r.ts.microsecond // 1000, r.status) for r in shown.collect()) == [(1, 0, "running"), (1, 300, "running"), (1, 310, "completed"), (2, 0, "running")]
+
+
+def test_fetched_tables(spark):
+    from webskein.sources import fetched
+
+    hops = spark.createDataFrame([("a", "b"), ("b", "https://10.0.0.1/x"), ("c", "d")], "url string, location string")
+    got = {r.url: (r.final_url, r.hops, r.refused) for r in fetched.final_urls(hops, spark.createDataFrame([("a",), ("c",), ("z",)], "url string")).collect()}
+    assert got == {"a": ("b", 1, True), "c": ("d", 1, False), "z": ("z", 0, False)}
+    assert col(spark, [b"plain", None], fetched.inflated, "binary") == [b"plain", None]
+    paths = col(spark, ["https://c.d/a.PNG?x=.y", "https://c.d/a"], lambda c: F.substring(fetched.asset_path(F.lit(7), c), -4, 4))
+    assert paths == [".PNG", ".jpg"]
+    log = spark.createDataFrame([("d", 0, 0, "429"), ("d", 1, 0, "429"), ("d", 2, 5, "429"), ("d", 3, 20, "ok")] + [("f", i, i, "failed") for i in range(12)], "domain string, seq long, ts long, outcome string")
+    paced = {(r.domain, r.seq): (r.rate, r.open) for r in fetched.replay_pacing(log).collect()}
+    assert [paced["d", i][0] for i in range(4)] == [1.0, 1.0, 0.5, 0.6] and [paced["f", i][1] for i in (9, 10, 11)] == [False, True, True]
+    two = "page_type string, links array<string>, resources array<string>"
+    static = spark.createDataFrame([(1, "list", [], []), (2, "detail", [], ["r"])], f"page_id int, {two}")
+    rendered = spark.createDataFrame([(1, "list", [], ["x"]), (2, "list", [], ["y"])], f"page_id int, {two}")
+    assert {r.page_id: (r.resources, r.source) for r in fetched.rescued(static, rendered).collect()} == {1: (["x"], "rendered"), 2: (["r"], "static")}
+
+
+def test_exports_and_table_function(spark, tmp_path):
+    from webskein.operators import export
+
+    raw = col(spark, ['{"provenance":{"a":"dom","b":"zzz"},"description":"d"}', "[1]", "", None], lambda c: F.to_json(export.read_raw_data(c)))
+    assert raw == ['{"provenance":{"a":"dom"},"description":"d"}'] + ['{"provenance":{},"description":""}'] * 3
+    rows = spark.createDataFrame([(1, "Comma, in title", ["tag, x", 'q"'])], "id int, title string, tags array<string>").select("id", "title", F.array_join("tags", "; ").alias("tags"))
+    export.write_csv(rows, str(tmp_path / "csv"))
+    assert spark.read.option("header", True).option("quote", '"').option("escape", '"').csv(str(tmp_path / "csv")).first()["tags"] == 'tag, x; q"'
+    extract.register(spark)
+    got = spark.sql(f"SELECT title FROM parse_html('<html><head>{HEAD}</head><body>{ARTICLE}</body></html>', 'https://e.com/a/1')")
+    assert [r.title for r in got.collect()] == ["Og"]

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions import pages as page_functions
 from ..functions import text, urls
-from ..operators import frontier, monitor, scores, search, similar, tables, tags
-from ..sources import extract, views
+from ..operators import export, frontier, monitor, scores, search, similar, tables, tags
+from ..sources import extract, fetched, views
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -210,13 +210,13 @@ def private_hosts(spark, sf_dir):
 
 @register(
     """SELECT u.normal AS url, min(u.page_id % 4)::INTEGER AS depth FROM urls u
-       WHERE md5(u.normal) NOT IN (SELECT md5(normal) FROM urls WHERE page_id % 2 = 0) GROUP BY 1""",
+       WHERE md5(u.normal) NOT IN (SELECT md5(normal) FROM urls WHERE scheme = 'http') GROUP BY 1""",
     _PAGE_URLS,
 )
 def new_links_anti(spark, sf_dir):
-    """Each page as a link from its own site, against those visited: every second page."""
+    """Each page as a link from its own site, against those visited: the ones without encryption."""
     p = views.table(spark, sf_dir, "pages")
-    seen = p.where("page_id % 2 = 0").select(urls.fingerprint(urls.normalize(F.col("url"))).alias("fp")).distinct()
+    seen = p.where(urls.scheme(F.col("url")) == "http").select(urls.fingerprint(urls.normalize(F.col("url"))).alias("fp")).distinct()
     links = p.select(urls.normalize(F.col("url")).alias("url"), (F.col("page_id") % 4).cast("int").alias("depth")).groupBy("url").agg(F.min("depth").alias("depth"))
     return links.withColumn("fp", urls.fingerprint(F.col("url"))).join(seen, "fp", "left_anti").select("url", "depth")
 
@@ -575,20 +575,95 @@ def bfs_crawl(spark, sf_dir):
     return frontier.reachable(edges, seeds, 6, checkpoint=lambda df: df)
 
 
+# Fetching, over tables
+
+
+@register(
+    """SELECT event_id, 'data/assets/' || event_id % 7 || '/' || md5('https://c.example/' || event_id || '.png') || '.png' AS path,
+              CASE WHEN event_id % 3 = 0 THEN 'data/assets/' || event_id % 7 || '/' || md5('https://c.example/' || event_id || '.png') || '.png' ELSE 'https://c.example/' || event_id || '.png' END AS shown FROM events"""
+)
+def assets(spark, sf_dir):
+    """A third of all covers is kept, another third too small."""
+    e = views.table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 7).alias("scan_job_id"), F.concat(F.lit("https://c.example/"), "event_id", F.lit(".png")).alias("cover_url"))
+    path = fetched.asset_path(F.col("scan_job_id"), F.col("cover_url"))
+    kept = e.where("event_id % 3 < 2").select(path.alias("path"), (F.lit(201) - 100 * (F.col("event_id") % 3)).alias("size"))
+    return fetched.asset_or_url(e, kept).select("event_id", path.alias("path"), "shown")
+
+
+@register(
+    """SELECT event_id AS id, CASE WHEN event_id % 4 = 0 THEN 'cached' ELSE event_type END AS body, event_id % 4 = 0 AS cached FROM events"""
+)
+def cached_bodies(spark, sf_dir):
+    e = views.table(spark, sf_dir, "events")
+    responses = e.select(F.col("event_id").alias("id"), F.col("event_id").cast("string").alias("url"), F.when(F.col("event_id") % 4 == 0, 304).otherwise(200).alias("status"), F.col("event_type").alias("body"))
+    cache = e.select(F.col("event_id").cast("string").alias("url"), F.lit("cached").alias("response_body"))
+    return fetched.with_cached(responses, cache).select("id", "body", "cached")
+
+
+@register(
+    """SELECT p_partkey::VARCHAR AS url, (p_partkey - 5 * least(3, greatest(0, p_partkey - 1) // 5))::VARCHAR AS final_url FROM part""",
+)
+def redirects(spark, sf_dir):
+    p = views.table(spark, sf_dir, "part")
+    hops = p.where("p_partkey > 5").select(F.col("p_partkey").cast("string").alias("url"), (F.col("p_partkey") - 5).cast("string").alias("location"))
+    return fetched.final_urls(hops, p.select(F.col("p_partkey").cast("string").alias("url")), 3).select("url", "final_url")
+
+
+@register(
+    r"""SELECT page_id, regexp_matches(lower(url), 'google-analytics|doubleclick|adservice|adsense|analytics\.js|facebook\.net|facebook\.com/plugins|googletagmanager|googletagservices|amazon-adsystem|adnxs|scorecardresearch|tracking|pixel|analytics|metrics|ads-|ads\.|/ads/|advertisement') AS blocked,
+               NOT contains(url, '/a') AS allowed FROM pages"""
+)
+def refused_requests(spark, sf_dir):
+    """Block list, and robots rules of every host that refuse paths that begin with a."""
+    p = views.table(spark, sf_dir, "pages").select("page_id", "url")
+    rules = p.select(urls.netloc(F.col("url")).alias("host")).distinct().withColumn("robots", F.lit("User-agent: *\nDisallow: /a"))
+    checked = fetched.robots_allowed(p, rules)
+    return checked.select("page_id", fetched.is_blocked(F.col("url"), F.lit("document")).alias("blocked"), "allowed")
+
+
+@register()
+def pacing(spark, sf_dir):
+    e = views.table(spark, sf_dir, "events")
+    outcome = F.when(F.col("event_type") == "error", "429").when(F.col("event_type") == "click", "failed").otherwise("ok")
+    return fetched.replay_pacing(e.select(F.col("user_id").cast("string").alias("domain"), F.col("event_id").alias("seq"), F.unix_timestamp("ts").alias("ts"), outcome.alias("outcome")))
+
+
+@register("SELECT site AS domain, regexp_replace(path, '/\\d+', '/*', 'g') AS pattern, max_by('s' || page_id, page_id) AS selector FROM urls GROUP BY 1, 2", _PAGE_URLS)
+def page_memory(spark, sf_dir):
+    p = views.table(spark, sf_dir, "pages").select("url", F.concat(F.lit("s"), "page_id").alias("selector"), F.col("page_id").alias("seq"))
+    return fetched.page_memory(p)
+
+
 # Export
 
 
+_RAW = '{"provenance":{"title":"dom","bad":"x","category":"jsonld"},"description":"d"}'
+
+
+def _export(spark, sf_dir):
+    raw = F.when(F.col("id") % 3 == 0, _RAW).when(F.col("id") % 3 == 1, "not json")
+    return _scored(spark, sf_dir).withColumns({"cover_url": F.lit(""), "raw_data": raw, "tags": F.array_sort("tags")})
+
+
 @register(
-    """SELECT id, title || ',' || string_agg(name, '; ' ORDER BY name) AS line FROM resources JOIN resource_tags USING (id, scan_job_id) GROUP BY id, title""",
-    views.SQL,
+    """SELECT id, title, url, '' AS cover_url, views, likes, hearts, category, published_at, popularity_score, t AS tags,
+              CASE WHEN id % 3 = 0 THEN '{"category":"jsonld","title":"dom"}' ELSE '{}' END AS sources
+       FROM scored JOIN (SELECT id, string_agg(name, '; ' ORDER BY name) AS t FROM resource_tags GROUP BY 1) USING (id)""",
+    SCORED,
 )
 def export_csv(spark, sf_dir):
-    return views.resources(spark, sf_dir).select("id", F.concat("title", F.lit(","), F.array_join(F.array_sort("tags"), "; ")).alias("line"))
+    return export.resource_rows(_export(spark, sf_dir))
 
 
-@register("""SELECT p_partkey AS id, '{"title":"' || p_name || '","category":"' || p_type || '","provenance":{"title":"dom"}}' AS line FROM part""")
+@register(
+    """SELECT id, title, tags, CASE WHEN id % 3 = 0 THEN 'd' ELSE '' END AS description, CASE WHEN id % 3 = 0 THEN 'dom' END AS title_from
+       FROM resources JOIN (SELECT id, string_agg(name, '|' ORDER BY name) AS tags FROM resource_tags GROUP BY 1) USING (id)""",
+    views.SQL,
+)
 def export_json(spark, sf_dir):
-    return views.resources(spark, sf_dir).select("id", F.to_json(F.struct("title", "category", F.create_map(F.lit("title"), F.lit("dom")).alias("provenance"))).alias("line"))
+    """The written lines, read back."""
+    back = F.from_json("value", "id long, title string, tags array<string>, provenance map<string,string>, description string")
+    return export.resource_json(_export(spark, sf_dir)).select(back.alias("r")).select("r.id", "r.title", F.array_join("r.tags", "|").alias("tags"), "r.description", F.try_element_at("r.provenance", F.lit("title")).alias("title_from"))
 
 
 @register("SELECT event_id, 'r' || CASE WHEN event_id % 2 = 0 THEN regexp_extract(props, '(\\d+)', 1) ELSE '' END AS k FROM events")
