@@ -611,7 +611,8 @@ def redirects(spark, sf_dir):
 
 @register(
     r"""SELECT page_id, regexp_matches(lower(url), 'google-analytics|doubleclick|adservice|adsense|analytics\.js|facebook\.net|facebook\.com/plugins|googletagmanager|googletagservices|amazon-adsystem|adnxs|scorecardresearch|tracking|pixel|analytics|metrics|ads-|ads\.|/ads/|advertisement') AS blocked,
-               NOT contains(url, '/a') AS allowed FROM pages"""
+               path NOT LIKE '/a%' AS allowed FROM urls""",
+    _PAGE_URLS,
 )
 def refused_requests(spark, sf_dir):
     """Block list, and robots rules of every host that refuse paths that begin with a."""
