@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -32,8 +31,10 @@ STEM_LENGTHS = (4, 5, 6, 7)
 CLEAN_NEIGHBOURS = 2
 #: Words on each side of a match that weigh it.
 WINDOW = 8
-#: Words and automaton states that a worker remembers.
-REMEMBERED = 1 << 20
+#: Words, and automaton states, that a worker remembers.
+REMEMBERED, STATES = 1 << 17, 1 << 14
+#: Rows whose terms are put together before they are sent on; terms whose clean rows are counted.
+COUNTED_ROWS, CANDIDATES = 256, 1 << 16
 TOKEN = re.compile(r"[^\W_]+")
 
 # Quotation marks, words that report speech, words that address the reader.
@@ -129,7 +130,7 @@ class Automaton:
 
     def match(self, word: str) -> tuple[int, int] | None:
         """(edits, term) of the nearest term, the first of the lexicon on ties; None if none is near enough."""
-        if len(self.sets) > REMEMBERED // 8:
+        if len(self.sets) > STATES:
             self._forget()
         at = self.start
         for ch in word:
@@ -265,36 +266,44 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, se
     """A model from at most sample_rows labelled rows, those of the least seeded hash, none of them held out.
 
     Terms are counted over those rows by distinct marks of their texts, so a group of
-    copies counts as one text. What reaches the driver is LEXICON_TERMS terms, a few
-    clean words for each, and a number a sampled row.
+    copies counts as one text. What reaches the driver is CANDIDATES terms, a few
+    clean words for each that is taken, and a number a sampled row.
     """
     usable = labels.where(F.col(label_col).isin(0, 1) & ~held_out(F.col(id_col))).select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("label"))
     sample = usable.groupBy("__id").agg(F.max("label").alias("label")).orderBy(seeded(seed, F.col("__id")), "__id").limit(sample_rows)
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("body")).join(F.broadcast(sample), "__id").select("body", "label")
     rows = materialize(rows.where("body is not null").distinct(), "labelled")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: Counter = Counter()
-            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found, mark = terms_of(text)
-                out.update((t, label, mark) for t in found)
-            keys = list(out)
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.int64())], names=["term", "label", "mark"])
-
-    marks = rows.mapInArrow(count, "term string, label int, mark long").distinct()
-    stats = marks.groupBy("term").agg(F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg"))
-    stats = materialize(stats, "terms")
+    def count(wanted: frozenset[str] | None):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, len(batch), COUNTED_ROWS):
+                    out: set[tuple[str, int]] = set()
+                    for text in batch.column(0).slice(at, COUNTED_ROWS):
+                        found, mark = terms_of(text.as_py())
+                        out.update((t, mark) for t in (found if wanted is None else found & wanted))
+                    keys = list(out)
+                    yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64())], names=["term", "mark"])
+
+        return run
+
+    def marks(label: int, wanted: frozenset[str] | None) -> DataFrame:
+        return rows.where(F.col("label") == label).select("body").mapInArrow(count(wanted), "term string, mark long").distinct().groupBy("term").agg(F.count("*").alias("n"))
+
     n = rows.agg(F.coalesce(F.sum("label"), F.lit(0)).alias("p"), F.count("*").alias("n")).first()
     all_pos, all_neg = n["p"], n["n"] - n["p"]
     if not all_pos or not all_neg:
         return Model([], [])
-    top = stats.where(F.col("pos") >= 2).where(F.col("pos") >= LEAST_SHARE * (F.col("pos") + F.col("neg")))
-    top = top.orderBy(F.desc(F.col("pos") - F.col("neg")), "term").limit(4 * LEXICON_TERMS).collect()
-    good = {r["term"]: (r["pos"], r["neg"]) for r in top if _gain(r["pos"], r["neg"], all_pos, all_neg) >= LEAST_GAIN}
-    # A word or longer stem adds nothing to a shorter stem that is as surely toxic.
+    # So many rows a term has to have, even without any that is clean.
+    fewest = math.ceil(LEAST_GAIN / (2 * math.log((all_pos + all_neg) / all_pos)))
+    often = marks(1, None).where(F.col("n") >= fewest).orderBy(F.desc("n"), "term").limit(CANDIDATES).collect()
+    pos = {r["term"]: r["n"] for r in often}
+    neg = {r["term"]: r["n"] for r in marks(0, frozenset(pos)).collect()} if pos else {}
+    good = {t: (p, neg.get(t, 0)) for t, p in pos.items()}
+    good = {t: c for t, c in good.items() if c[0] >= LEAST_SHARE * sum(c) and _gain(*c, all_pos, all_neg) >= LEAST_GAIN}
+    # A longer stem adds nothing to a shorter one that is as surely toxic; a word does, as it may be misspelt.
     share = {t: p / (p + g) for t, (p, g) in good.items()}
-    kept = [t for t in good if not any(t.rstrip("*")[:k] + "*" in good and share[t.rstrip("*")[:k] + "*"] >= share[t] for k in STEM_LENGTHS if k < len(t.rstrip("*")))]
+    kept = [t for t in good if not t.endswith("*") or not any(t.rstrip("*")[:k] + "*" in good and share[t.rstrip("*")[:k] + "*"] >= share[t] for k in STEM_LENGTHS if k < len(t.rstrip("*")))]
     kept = sorted(kept, key=lambda t: (-good[t][0], t))[:LEXICON_TERMS]
     odds = lambda t: (good[t][0] + 0.5) / (all_pos + 1) * (all_neg + 1) / (good[t][1] + 0.5)
     weights = [max(0.2, min(1.5, math.log(odds(t)) / 6)) for t in kept]
@@ -304,11 +313,12 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, se
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = batch.column(0).to_pylist()
-            found = [(w, kept[f[1]]) for w in words if (f := automaton.match(w)) and f[0]]
-            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.string()) for k in (0, 1)], names=["word", "term"])
+            for at in range(0, len(batch), COUNTED_ROWS):
+                words = {w for text in batch.column(0).slice(at, COUNTED_ROWS) for w in TOKEN.findall(text.as_py().lower())}
+                found = [(w, kept[f[1]]) for w in words if (f := automaton.match(w)) and f[0]]
+                yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.string()) for k in (0, 1)], names=["word", "term"])
 
-    unsure = stats.where((F.col("neg") > 0) & ~F.col("term").endswith("*")).select("term").mapInArrow(near, "word string, term string")
+    unsure = rows.where("label = 0").select("body").mapInArrow(near, "word string, term string").distinct()
     unsure = materialize(unsure, "unsure")
     model.exact = frozenset(r["term"] for r in unsure.groupBy("term").count().where(F.col("count") > CLEAN_NEIGHBOURS).collect())
     sure = F.col("term").isin(list(model.exact)) if model.exact else F.lit(False)
@@ -331,7 +341,7 @@ def scored(docs: DataFrame, model: Model, id_col: str, text_col: str, keep: list
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [model.matches(t) for t in batch.column(1).to_pylist()]
+            found = [model.matches(t) for t in (x.as_py() for x in batch.column(1))]
             totals = [math.log1p(sum(m[4] for m in x)) for x in found]
             as_rows = pa.array([[dict(zip(("start", "end", "word", "edits", "weight"), m, strict=True)) for m in x] for x in found], listed)
             yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(totals, pa.float64()), pa.array([model.score(t) for t in totals], pa.float64()), as_rows], names=["id", *[f"k{i}" for i in range(len(keep))], "total", "score", "matches"])
@@ -361,6 +371,6 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, model: Model | None = None, t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array([model.score(model.total(t)) < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
+            yield batch.filter(pa.array([model.score(model.total(t)) < threshold for t in (x.as_py() for x in batch.column(at))], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
