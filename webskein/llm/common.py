@@ -147,3 +147,11 @@ def scratch(spark: SparkSession, name: str) -> str:
 def small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
     """df with a broadcast hint if it has at most so many rows; df should be stored and narrow."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def bounded_batches(spark: SparkSession, rows: int = 512) -> None:
+    """Let Arrow hand texts to Python at most so many rows at a time, in this session: a batch is held on both
+    sides of the pipe, and the usual 10,000 long texts are too many. A smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))

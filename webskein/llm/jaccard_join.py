@@ -29,17 +29,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, materialize, release, small
+from .common import bounded_batches, components, materialize, small
 
-#: Frequent tokens that go last in the first order: a bounded table (1 MB), which costs or saves time only.
-FREQUENT_TOKENS = 1 << 17
+#: Frequent tokens that go last in the first order: a bounded table (8 MB), which costs or saves time only.
+FREQUENT_TOKENS = 1 << 19
 #: Tokens counted at once in a task, and the count there from which a token is reported.
-COUNTED_TOKENS, REPORTED = 1 << 22, 3
+COUNTED_TOKENS, REPORTED = 1 << 21, 3
 BANDS, ROWS_PER_BAND, PIVOTS, SKETCH_WORDS = 8, 4, 12, 16
 #: Ids up to this many are broadcast (some 16 MB); beyond it the texts are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Pairs of one center that one task compares.
+LANE_PAIRS = 512
 _SEGMENT = 1 << 21
 _P = 0x9E3779B97F4A7C15
+#: Multipliers that make the second and third order and the sketch.
 _ODD = [0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3]
 
 
@@ -204,43 +207,64 @@ def prefixes(shingle: int, percent: int, frequent: np.ndarray):
     return run
 
 
-def whole_sets(shingle: int, percent: int):
-    """A function for mapInArrow: (id, s, p2, p3): the set, and its prefixes under the second and third order."""
+def compare_with_centers(shingle: int, percent: int):
+    """A function for mapInArrow over rows (a, lane, b, body) sorted by a, lane and b, nulls first: the text of a
+    center, b null, then those that are compared with it. Emits the pairs (a, b) that link.
+
+    A pair's prefixes under the second and third order must meet, too, before the sets
+    are compared. Only a center's set and that of the row at hand are held.
+    """
+
+    def heads(s: np.ndarray) -> list[np.ndarray]:
+        p = prefix_length(len(s), percent)
+        return [s[np.argpartition(_mix(s * np.uint64(odd)), p - 1)[:p]] for odd in _ODD[1:3]]
+
+    def links(one: np.ndarray, first: list[np.ndarray], two: np.ndarray, second: list[np.ndarray]) -> bool:
+        if not all(np.isin(x, y, kind="sort").any() for x, y in zip(first, second, strict=True)):
+            return False
+        shared = len(one) + len(two) - len(np.union1d(one, two))
+        return 100 * shared >= percent * (len(one) + len(two) - shared)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make = Shingler(shingle)
+        make, at, centers = Shingler(shingle), None, []  # more than one center only if rows share its id
         for batch in batches:
-            ids, sets, twos, threes = [], [], [], []
-            for i, text in _rows(batch.column(0), batch.column(1)):
-                s = make.set_of(text)
-                p = prefix_length(len(s), percent)
-                ids.append(i)
-                sets.append(_signed(s))
-                for odd, out in ((_ODD[1], twos), (_ODD[2], threes)):
-                    order = _mix(s * np.uint64(odd))
-                    out.append(_signed(s[np.argpartition(order, p - 1)[:p]] if p else s))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), _lists(sets), _lists(twos), _lists(threes)], names=["id", "s", "p2", "p3"])
+            out = []
+            for a, lane, b, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                s = make.set_of(body)
+                if b is None:
+                    centers = (centers if at == (a, lane) else []) + ([(s, heads(s))] if len(s) else [])
+                    at = (a, lane)
+                elif at == (a, lane) and len(s):
+                    h = heads(s)
+                    if any(links(x, y, s, h) for x, y in centers):
+                        out.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     return run
 
 
+def distance() -> Column:
+    """Cells in which the odd sketches sa and sb differ, at most as many as tokens do."""
+    return reduce(lambda a, b: a + b, [F.bit_count(F.col("sa")[i].bitwiseXOR(F.col("sb")[i])) for i in range(SKETCH_WORDS)])
+
+
 def may_link(percent: int) -> Column:
     """Size filter and odd-sketch bound for rows with na, nb, sa, sb."""
     low, high = F.least("na", "nb"), F.greatest("na", "nb")
-    differ = reduce(lambda a, b: a + b, [F.bit_count(F.col("sa")[i].bitwiseXOR(F.col("sb")[i])) for i in range(SKETCH_WORDS)])
-    return (100 * low >= percent * high) & ((100 + percent) * differ <= (100 - percent) * (F.col("na") + F.col("nb")))
+    return (100 * low >= percent * high) & ((100 + percent) * distance() <= (100 - percent) * (F.col("na") + F.col("nb")))
 
 
 def verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that link: prefixes under the other orders must meet, then the sets are compared."""
-    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
-    sets = materialize(texts.join(small(ids, BROADCAST_IDS), "id", "left_semi").select("id", "body").mapInArrow(whole_sets(shingle, percent), "id long, s array<long>, p2 array<long>, p3 array<long>"), "sets")
-    of = lambda x: sets.select(F.col("id").alias(x), F.col("s").alias(f"s{x}"), F.col("p2").alias(f"p2{x}"), F.col("p3").alias(f"p3{x}"))
-    both = pairs.join(of("a"), "a").join(of("b"), "b").where(F.arrays_overlap("p2a", "p2b") & F.arrays_overlap("p3a", "p3b"))
-    shared = F.size(F.array_intersect("sa", "sb"))
-    links = materialize(both.where(100 * shared >= percent * (F.size("sa") + F.size("sb") - shared)).select("a", "b").distinct(), "links")
-    release(ids, sets)
-    return links
+    """The pairs (a, b) that link. Each pair moves one text, b's, to its center a; a center of many pairs is
+    several lanes, each with a copy of its text. Pairs are few numbers a row and should be stored."""
+    per = pairs.groupBy("a").agg(F.count("*").alias("n"))
+    lanes = materialize(per.select("a", F.ceil(F.col("n") / LANE_PAIRS).cast("int").alias("lanes")), "lanes")
+    members = small(materialize(pairs.join(lanes, "a").select("a", F.pmod(F.xxhash64("b"), F.col("lanes")).cast("int").alias("lane"), "b"), "members"), BROADCAST_IDS)
+    centers = small(lanes, BROADCAST_IDS)
+    held = texts.join(centers, texts["id"] == centers["a"]).select("a", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)).alias("lane"), F.lit(None).cast("long").alias("b"), "body")
+    moved = texts.join(members, texts["id"] == members["b"]).select("a", "lane", "b", "body")
+    rows = held.unionByName(moved).repartition("a", "lane").sortWithinPartitions("a", "lane", F.col("b").asc_nulls_first())
+    return materialize(rows.mapInArrow(compare_with_centers(shingle, percent), "a long, b long").distinct(), "links")
 
 
 def jaccard_components(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -252,6 +276,7 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, percent: int = 80, id_
     are not read. The texts are read three times and never shuffled unless more than
     BROADCAST_IDS documents have to be compared.
     """
+    bounded_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("body"))
     described = materialize(texts.mapInArrow(describe_sets(shingle), SETS), "described")
     # The most frequent tokens, from the rarest on: a table of FREQUENT_TOKENS rows at most.
@@ -277,7 +302,11 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, percent: int = 80, id_
     left = member.select("band", "key", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
     right = pivot.select(F.col("band").alias("band_b"), F.col("key").alias("key_b"), F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
     near = left.join(right, (F.col("band") == F.col("band_b")) & (F.col("key") == F.col("key_b")) & (F.col("a") != F.col("b")) & may_link(percent))
-    pairs = materialize(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near")
+    # Of the pivots that a class may link with, the least, which most others take, too, and the nearest.
+    kept = near.groupBy(F.col("a").alias("b")).agg(F.min("b").alias("least"), F.min_by("b", F.struct(distance(), F.col("b"))).alias("nearest"))
+    kept = kept.select("b", F.explode(F.array_distinct(F.array("least", "nearest"))).alias("a"))
+    # A pair that both sides chose is one.
+    pairs = materialize(kept.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near")
     links = verified(pairs, texts, shingle, percent)
     merged = materialize(components(links), "merged")
 
