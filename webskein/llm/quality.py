@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, materialize, seeded
+from .common import bounded_batches, held_out, materialize, seeded
 from .jaccard_join import Shingler, _mix
 
 #: Labelled rows that are learnt from at most, weights, passes over the sample.
@@ -70,6 +70,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, se
     hash, none of them held out, in the order of that hash. A row whose labels differ counts as
     the higher one. Only the weights reach the driver: DIMENSIONS numbers at most. No usable
     label: all weights 0."""
+    bounded_batches(docs.sparkSession)
     usable = labels.where(F.col(label_col).isin(0, 1) & ~held_out(F.col(id_col))).select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("label"))
     order = seeded(seed, F.col("__id"))
     sample = usable.groupBy("__id").agg(F.max("label").alias("label")).orderBy(order, "__id").limit(sample_rows)
@@ -112,6 +113,7 @@ def quality(docs: DataFrame, labels: DataFrame, weights: np.ndarray | None = Non
     not read.
     """
     w = train(docs, labels, id_col=id_col, text_col=text_col) if weights is None else weights
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
