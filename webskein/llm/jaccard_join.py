@@ -14,6 +14,9 @@ documents are connected. So
 3. the prefix filters look for links between what is then still apart, so no link that
    joins two components is lost, and pairs within a component are never made.
 
+All links are within components, so the number of links of each document comes from exact
+comparisons inside each component, side by side in blocks; no pair is emitted for it.
+
 An odd sketch of each set (the parity of its tokens' counts in 1024 cells) bounds the
 symmetric difference from below, so it drops only pairs that cannot link.
 """
@@ -40,6 +43,8 @@ BANDS, ROWS_PER_BAND, PIVOTS, SKETCH_WORDS = 8, 4, 12, 16
 BROADCAST_IDS = 1_000_000
 #: Pairs of one center that one task compares.
 LANE_PAIRS = 512
+#: Classes, and shingles in them, on one side of a block, more or less; shingles that are multiplied at once.
+SIDE, SIDE_SHINGLES, COLUMNS = 512, 1 << 20, 4096
 _SEGMENT = 1 << 21
 _P = 0x9E3779B97F4A7C15
 #: Multipliers that make the second and third order and the sketch.
@@ -128,6 +133,11 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else np.empty(0, np.int64), type=pa.int64()))
 
 
+def _digest(s: np.ndarray) -> np.ndarray:
+    """The two numbers that tell a set from others."""
+    return np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), dtype=np.int64)
+
+
 SETS = "id long, n long, k1 long, k2 long, bands array<long>, sketch array<long>, token long, seen long"
 
 
@@ -150,7 +160,7 @@ def describe_sets(shingle: int):
             ids, ns, k1, k2, bands, sketches = [], [], [], [], [], []
             for i, text in _rows(batch.column(0), batch.column(1)):
                 s = make.set_of(text)
-                key = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), dtype=np.int64)
+                key = _digest(s)
                 ids.append(i)
                 ns.append(len(s))
                 k1.append(key[0])
@@ -243,6 +253,96 @@ def compare_with_centers(shingle: int, percent: int):
     return run
 
 
+def linked_rows(sets: list[np.ndarray], m: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
+    """For each set the sum of m over the sets that link with it, of pairs between left and right (places in sets);
+    equal left and right: of all pairs. Exact: shared shingles are counted as products of 0/1 matrices."""
+    sizes = np.array([len(s) for s in sets], dtype=np.int64)
+    _, place, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row, often = np.repeat(np.arange(len(sets)), sizes), times > 1
+    kept = often[place]
+    place, row = (np.cumsum(often) - 1)[place[kept]], row[kept]
+    order = np.argsort(place, kind="stable")
+    place, row = place[order], row[order]
+    same = left is right
+    shared = np.zeros((len(left), len(right)))
+    for lo in range(0, int(often.sum()), COLUMNS):
+        a, b = np.searchsorted(place, (lo, lo + COLUMNS))
+        x = np.zeros((len(sets), COLUMNS), dtype=np.float32)
+        x[row[a:b], place[a:b] - lo] = 1
+        shared += x[left] @ x[right].T
+    link = 100 * shared >= percent * (sizes[left][:, None] + sizes[right][None, :] - shared)
+    out = np.zeros(len(sets), dtype=np.int64)
+    if same:
+        np.fill_diagonal(link, False)
+    else:
+        out[right] = m[left] @ link
+    out[left] = link @ m[right]
+    return out
+
+
+def count_in_blocks(shingle: int, percent: int):
+    """A function for mapInArrow over rows (comp, i, j, side, k1, k2, m, body) sorted by comp, i and j.
+
+    Rows of one (comp, i, j) are a block: side i of a component's classes against side j,
+    or side i against itself. Emits (k1, k2, n): n rows of other classes link with this
+    class. A text whose set is not that of its class, as rows that share an id may be, is
+    passed over. The sets of one block are held.
+    """
+
+    def block(at: tuple, held: dict, out: list) -> None:
+        if len(held) < 2:
+            return
+        side, m, sets = (list(c) for c in zip(*held.values(), strict=True))
+        left = np.flatnonzero(np.array(side) == at[1])
+        right = left if at[1] == at[2] else np.flatnonzero(np.array(side) == at[2])
+        if len(left) and len(right):
+            n = linked_rows(sets, np.array(m, dtype=np.int64), left, right, percent)
+            out.extend((*key, int(k)) for key, k in zip(held, n, strict=True) if k)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make, at, held, out = Shingler(shingle), None, {}, []
+
+        def made() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in range(3)], names=["k1", "k2", "n"])
+
+        for batch in batches:
+            for comp, i, j, side, k1, k2, m, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if at != (comp, i, j):
+                    if at:
+                        block(at, held, out)
+                    at, held = (comp, i, j), {}
+                s = make.set_of(body)
+                if tuple(_digest(s)) == (k1, k2):
+                    held[(k1, k2)] = side, m, s
+            yield made()
+            out = []
+        if at:
+            block(at, held, out)
+        yield made()
+
+    return run
+
+
+def links_inside(classes: DataFrame, comps: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(k1, k2, n): rows of other classes that link with each class; classes with none are left out.
+
+    Every two classes of a component are compared, so the work grows with the square of a
+    component, dealt out in blocks; a class's text moves once for each side of its
+    component. Only numbers come back.
+    """
+    known = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
+    known = materialize(known.select("rep", "k1", "k2", "m", "n", "comp"), "known")
+    groups = known.groupBy("comp").agg(F.count("*").alias("c"), F.sum("n").alias("all")).where("c > 1")
+    groups = groups.select("comp", F.greatest(F.ceil(F.col("c") / SIDE), F.ceil(F.col("all") / SIDE_SHINGLES)).cast("int").alias("sides"))
+    members = known.join(groups, "comp").select("rep", "k1", "k2", "m", "comp", "sides", F.pmod(F.xxhash64("k1", "k2"), F.col("sides")).cast("int").alias("side"))
+    members = small(materialize(members, "members"), BROADCAST_IDS // 4)
+    block = ["comp", "i", "j"]
+    placed = texts.join(members, texts["id"] == members["rep"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
+    placed = placed.select("comp", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "k1", "k2", "m", "body")
+    found = placed.repartition(*block).sortWithinPartitions(*block).mapInArrow(count_in_blocks(shingle, percent), "k1 long, k2 long, n long")
+    return materialize(found, "inside").groupBy("k1", "k2").agg(F.sum("n").alias("others"))
+
+
 def distance() -> Column:
     """Cells in which the odd sketches sa and sb differ, at most as many as tokens do."""
     return reduce(lambda a, b: a + b, [F.bit_count(F.col("sa")[i].bitwiseXOR(F.col("sb")[i])) for i in range(SKETCH_WORDS)])
@@ -267,14 +367,15 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
     return materialize(rows.mapInArrow(compare_with_centers(shingle, percent), "a long, b long").distinct(), "links")
 
 
-def jaccard_components(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, n_shingles, class_id (least id with the same set), component_id (least id reachable by links).
+def jaccard_components(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", links: bool = False) -> DataFrame:
+    """id_col, n_shingles, class_id (least id with the same set), component_id (least id reachable by links);
+    with links also n_links, the number of other rows whose sets link with the row's.
 
     A text without words has an empty set and links with nothing, so do null ids, whose
     class and component are null. Rows that share an id are one node. Texts with equal
     sets link. Repeated rows return repeated; an empty table gives no rows; other columns
     are not read. The texts are read three times and never shuffled unless more than
-    BROADCAST_IDS documents have to be compared.
+    BROADCAST_IDS documents have to be compared. Links are counted in one more read.
     """
     bounded_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("body"))
@@ -288,8 +389,8 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, percent: int = 80, id_
     # 1. classes of equal sets
     sets = described.where("n is not null").select("id", "n", "k1", "k2")
     full = sets.where("n > 0 and id is not null")
-    classes = materialize(full.groupBy("k1", "k2").agg(F.min("id").alias("rep")), "classes")
-    own = described.where("n > 0 and id is not null").join(classes.withColumnRenamed("rep", "id"), ["k1", "k2", "id"], "left_semi")
+    classes = materialize(full.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.count("*").alias("m")), "classes")
+    own = described.where("n > 0 and id is not null").join(classes.select("k1", "k2", F.col("rep").alias("id")), ["k1", "k2", "id"], "left_semi")
     reps = materialize(own.select(F.col("id").alias("rep"), "n", "bands", "sketch").dropDuplicates(["rep", "n"]), "reps")
 
     # 2. classes that share a band of min-hashes, against a few pivots of the band
@@ -307,8 +408,7 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, percent: int = 80, id_
     kept = kept.select("b", F.explode(F.array_distinct(F.array("least", "nearest"))).alias("a"))
     # A pair that both sides chose is one.
     pairs = materialize(kept.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near")
-    links = verified(pairs, texts, shingle, percent)
-    merged = materialize(components(links), "merged")
+    merged = materialize(components(verified(pairs, texts, shingle, percent)), "merged")
 
     # 3. prefix filter between what is still apart
     now = reps.join(merged.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "n", "sketch", F.coalesce("component", "rep").alias("comp"))
@@ -327,10 +427,15 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, percent: int = 80, id_
     merged_edges = merged.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
     final = materialize(components(merged_edges), "components")
 
-    out = sets.join(classes, ["k1", "k2"], "left")
+    out = sets.join(classes.select("k1", "k2", "rep", "m"), ["k1", "k2"], "left")
+    counted = []
+    if links:
+        out = out.join(links_inside(classes, final, texts, shingle, percent), ["k1", "k2"], "left")
+        alone = F.col("id").isNull() | (F.col("n") == 0)
+        counted = [F.when(alone, 0).otherwise(F.col("m") - 1 + F.coalesce("others", F.lit(0))).cast("long").alias("n_links")]
     rep = F.when(F.col("id").isNotNull(), F.coalesce("rep", "id"))
-    out = out.select("id", "n", rep.alias("node")).join(final, "node", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("node").alias("class_id"), F.coalesce("component", "node").alias("component_id"))
+    out = out.select("id", "n", rep.alias("node"), *counted).join(final, "node", "left")
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("node").alias("class_id"), F.coalesce("component", "node").alias("component_id"), *(["n_links"] if links else []))
 
 
 def keep_one_each(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
