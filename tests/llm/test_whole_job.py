@@ -5,7 +5,7 @@ import random
 
 from test_operators import frame, near_texts, sets_of
 
-from webskein.llm import jaccard_join
+from webskein.llm import jaccard_join, toxicity
 
 
 def test_every_link_is_counted(spark):
@@ -25,3 +25,19 @@ def test_every_link_is_counted(spark):
     jaccard_join.SIDE, jaccard_join.COLUMNS = kept
     assert max(wanted.values()) > 5
     assert all(f == wanted | {None: 0, 999: 0} for f in found.values())
+
+
+def test_rare_toxic_terms_are_learnt(spark, monkeypatch):
+    """A term in few toxic rows is learnt however many harmless terms are more frequent there."""
+    monkeypatch.setattr(toxicity, "CANDIDATES", 300, raising=False)
+    rng = random.Random(22)
+    rows, labels = [], []
+    for i in range(1200):
+        words = [f"harmless{rng.randrange(400)}x" for _ in range(60)] + [f"{rng.randrange(1 << 40):x}" for _ in range(200)]
+        if i % 4 == 0:
+            words[rng.randrange(60)] = "zounderkite" if i % 40 == 0 else "scoundrel"
+        rows.append((i, " ".join(words), "en", "a"))
+        labels.append((i, int(i % 4 == 0)))
+    model = toxicity.learn(frame(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert model.hit("scoundrel") and model.hit("zounderkite")
+    assert not model.hit("harmless7x")

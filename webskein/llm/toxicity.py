@@ -15,12 +15,13 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from zlib import crc32
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, held_out, materialize, seeded
+from .common import bounded_batches, held_out, materialize, seeded, small
 
 #: Labelled rows that are learnt from, and terms of the lexicon, at most.
 SAMPLE_ROWS, LEXICON_TERMS = 40_000, 4096
@@ -33,8 +34,8 @@ CLEAN_NEIGHBOURS = 2
 WINDOW = 8
 #: Words, and automaton states, that a worker remembers.
 REMEMBERED, STATES = 1 << 17, 1 << 14
-#: Rows whose terms are put together before they are sent on; terms whose clean rows are counted.
-COUNTED_ROWS, CANDIDATES = 256, 1 << 16
+#: Rows whose terms are put together before they are sent on; places of term hashes by which most other terms are passed over.
+COUNTED_ROWS, PLACES = 256, 1 << 22
 TOKEN = re.compile(r"[^\W_]+")
 
 # Quotation marks, words that report speech, words that address the reader.
@@ -214,8 +215,6 @@ class Model:
 
 def terms_of(text: str | None) -> tuple[set[str], int]:
     """The distinct words of a text and stems of its longer words, and the least word hash: a mark that copies share."""
-    from zlib import crc32
-
     words = set(TOKEN.findall((text or "").lower()))
     out = set(words)
     for w in words:
@@ -223,13 +222,11 @@ def terms_of(text: str | None) -> tuple[set[str], int]:
     return out, min((crc32(w.encode()) * 0x9E3779B1 & 0xFFFFFFFF for w in words), default=0)
 
 
-def _gain(pos: int, neg: int, all_pos: int, all_neg: int) -> float:
+def _gain(pos: Column, neg: Column, all_pos: int, all_neg: int) -> Column:
     """Likelihood ratio statistic of a term's rows being toxic more often than rows are."""
     n, base = pos + neg, all_pos / (all_pos + all_neg)
-    if pos <= n * base:
-        return 0.0
-    out = pos * math.log(pos / n / base)
-    return 2 * (out + (neg * math.log(neg / n / (1 - base)) if neg else 0.0))
+    out = pos * F.log(pos / n / base) + F.when(neg > 0, neg * F.log(neg / n / (1 - base))).otherwise(0.0)
+    return F.when(pos > n * base, 2 * out).otherwise(0.0)
 
 
 def fit_curve(totals: list[float], labels: list[int]) -> tuple[float, float]:
@@ -266,8 +263,9 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, se
     """A model from at most sample_rows labelled rows, those of the least seeded hash, none of them held out.
 
     Terms are counted over those rows by distinct marks of their texts, so a group of
-    copies counts as one text. What reaches the driver is CANDIDATES terms, a few
-    clean words for each that is taken, and a number a sampled row.
+    copies counts as one text. Every term with enough toxic rows is held against the
+    clean rows, on the executors. What reaches the driver is the terms that pass, a few
+    clean words for each that is taken, a number a sampled row and PLACES numbers at most.
     """
     bounded_batches(docs.sparkSession)
     usable = labels.where(F.col(label_col).isin(0, 1) & ~held_out(F.col(id_col))).select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("label"))
@@ -275,21 +273,21 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, se
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("body")).join(F.broadcast(sample), "__id").select("body", "label")
     rows = materialize(rows.where("body is not null").distinct(), "labelled")
 
-    def count(wanted: frozenset[str] | None):
+    def count(places: bytes | None):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for at in range(0, len(batch), COUNTED_ROWS):
                     out: set[tuple[str, int]] = set()
                     for text in batch.column(0).slice(at, COUNTED_ROWS):
                         found, mark = terms_of(text.as_py())
-                        out.update((t, mark) for t in (found if wanted is None else found & wanted))
+                        out.update((t, mark) for t in found if places is None or places[crc32(t.encode()) % PLACES])
                     keys = list(out)
                     yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64())], names=["term", "mark"])
 
         return run
 
-    def marks(label: int, wanted: frozenset[str] | None) -> DataFrame:
-        return rows.where(F.col("label") == label).select("body").mapInArrow(count(wanted), "term string, mark long").distinct().groupBy("term").agg(F.count("*").alias("n"))
+    def marks(label: int, places: bytes | None = None) -> DataFrame:
+        return rows.where(F.col("label") == label).select("body").mapInArrow(count(places), "term string, mark long")
 
     n = rows.agg(F.coalesce(F.sum("label"), F.lit(0)).alias("p"), F.count("*").alias("n")).first()
     all_pos, all_neg = n["p"], n["n"] - n["p"]
@@ -297,11 +295,16 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, se
         return Model([], [])
     # So many rows a term has to have, even without any that is clean.
     fewest = math.ceil(LEAST_GAIN / (2 * math.log((all_pos + all_neg) / all_pos)))
-    often = marks(1, None).where(F.col("n") >= fewest).orderBy(F.desc("n"), "term").limit(CANDIDATES).collect()
-    pos = {r["term"]: r["n"] for r in often}
-    neg = {r["term"]: r["n"] for r in marks(0, frozenset(pos)).collect()} if pos else {}
-    good = {t: (p, neg.get(t, 0)) for t, p in pos.items()}
-    good = {t: c for t, c in good.items() if c[0] >= LEAST_SHARE * sum(c) and _gain(*c, all_pos, all_neg) >= LEAST_GAIN}
+    often = marks(1).distinct().groupBy("term").agg(F.count("*").alias("p")).where(F.col("p") >= fewest)
+    often = materialize(often, "often")
+    places = bytearray(PLACES)
+    for r in often.select((F.crc32(F.col("term").cast("binary")) % PLACES).alias("at")).distinct().collect():
+        places[r["at"]] = 1
+    # Terms that only share a place with one of those go here, before anything is moved.
+    clean = marks(0, bytes(places)).join(small(often.select("term")), "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("g"))
+    counted = often.join(clean, "term", "left").select("term", "p", F.coalesce("g", F.lit(0)).alias("g"))
+    passed = counted.where((F.col("p") >= LEAST_SHARE * (F.col("p") + F.col("g"))) & (_gain(F.col("p"), F.col("g"), all_pos, all_neg) >= LEAST_GAIN))
+    good = {r["term"]: (r["p"], r["g"]) for r in passed.collect()}
     # A longer stem adds nothing to a shorter one that is as surely toxic; a word does, as it may be misspelt.
     share = {t: p / (p + g) for t, (p, g) in good.items()}
     kept = [t for t in good if not t.endswith("*") or not any(t.rstrip("*")[:k] + "*" in good and share[t.rstrip("*")[:k] + "*"] >= share[t] for k in STEM_LENGTHS if k < len(t.rstrip("*")))]
