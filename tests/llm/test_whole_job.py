@@ -3,9 +3,10 @@
 import itertools
 import random
 
+from pyspark.sql import functions as F
 from test_operators import frame, near_texts, sets_of
 
-from webskein.llm import jaccard_join, toxicity
+from webskein.llm import jaccard_join, packing, toxicity
 
 
 def test_every_link_is_counted(spark):
@@ -41,3 +42,10 @@ def test_rare_toxic_terms_are_learnt(spark, monkeypatch):
     model = toxicity.learn(frame(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int"))
     assert model.hit("scoundrel") and model.hit("zounderkite")
     assert not model.hit("harmless7x")
+
+
+def test_long_lengths_have_least_padding(spark):
+    """Near lengths beyond EXACT_LENGTHS are told apart."""
+    d = spark.createDataFrame([(i, 10_003 if i == 5 else 10_000) for i in range(6)], "doc_id long, n long")
+    got = packing.pack_batches(d, n_buckets=2, length=F.col("n")).collect()
+    assert len(got) == 6 and sum(r["padding"] for r in got) == 0
