@@ -29,8 +29,8 @@ def _hits(tokens: Column, terms: list[str]) -> Column:
     return F.when(n >= 1, F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), at)).otherwise(F.array().cast("array<int>"))
 
 
-def search(rows: DataFrame, query: str, columns: tuple[str, ...] = ("title", "category"), key: str = "id", k: int = 50, window: int = 15) -> DataFrame:
-    """key, rank_score (higher is better) and snippet of the k best rows that hold the phrase in one column.
+def search(rows: DataFrame, query: str, columns: tuple[str, ...] = ("title", "category"), key: str = "id", k: int | None = 50, window: int = 15) -> DataFrame:
+    """key, rank_score (higher is better) and snippet of the k best rows that hold the phrase in one column; k None: of all.
 
     A trailing star of the query is dropped: its last word is always a prefix. The phrase
     counts as one term: its frequency over all columns, its document frequency and the
@@ -55,4 +55,5 @@ def search(rows: DataFrame, query: str, columns: tuple[str, ...] = ("title", "ca
     snippet = F.concat(F.when(start > 1, "...").otherwise(""), cut, F.when(F.size("t0") > end, "...").otherwise(""))
     found = hits.where("tf > 0").join(totals).withColumn("rank_score", F.round(score, 6))
     snippet = F.when(first.isNull(), F.array_join(F.slice("t0", 1, window), " ")).otherwise(snippet)
-    return found.select(key, "rank_score", snippet.alias("snippet")).orderBy(F.desc("rank_score"), key).limit(k)
+    ranked = found.select(key, "rank_score", snippet.alias("snippet")).orderBy(F.desc("rank_score"), key)
+    return ranked if k is None else ranked.limit(k)

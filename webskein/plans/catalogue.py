@@ -367,7 +367,7 @@ def cluster_report(spark, sf_dir):
 
 @register("SELECT p_partkey AS id FROM part WHERE regexp_matches(lower(p_name), '\\bsmall ri')")
 def search_phrase(spark, sf_dir):
-    return search.search(views.resources(spark, sf_dir), "small ri*", k=1_000_000).select("id")
+    return search.search(views.resources(spark, sf_dir), "small ri*", k=None).select("id")
 
 
 @register()
