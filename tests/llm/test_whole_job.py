@@ -4,7 +4,7 @@ import itertools
 import random
 
 from pyspark.sql import functions as F
-from test_operators import frame, near_texts, sets_of
+from test_llm_operators import frame, near_texts, sets_of
 
 from webskein.llm import jaccard_join, packing, toxicity
 
