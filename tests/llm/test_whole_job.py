@@ -22,7 +22,7 @@ def test_every_link_is_counted(spark):
     found = {}
     kept = jaccard_join.SIDE, jaccard_join.COLUMNS
     for jaccard_join.SIDE, jaccard_join.COLUMNS in (kept, (5, 16)):
-        found[jaccard_join.SIDE] = {r["doc_id"]: r["n_links"] for r in jaccard_join.jaccard_components(d, links=True).collect()}
+        found[jaccard_join.SIDE] = {r["doc_id"]: r["n_links"] for r in jaccard_join.jaccard_components(d).collect()}
     jaccard_join.SIDE, jaccard_join.COLUMNS = kept
     assert max(wanted.values()) > 5
     assert all(f == wanted | {None: 0, 999: 0} for f in found.values())

@@ -7,6 +7,8 @@ partition, a row per Spark setting, or a sketch whose size is a parameter.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,14 +18,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); one of our own only where it is unset."""
+    """The folder all executors share: spark.checkpoint.dir; where it is unset, a folder in the warehouse, which is shared, too."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if found is None:
-        import tempfile
-
-        found = "file://" + tempfile.mkdtemp(prefix="webskein-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    return (found or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/webskein-shared").rstrip("/")
 
 
 def _path(spark: SparkSession, path: str):
@@ -109,24 +106,25 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     both = materialize(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")), "labels")
     while True:
+        own = small(labels)
         near = (
-            both.join(labels.select(F.col("node").alias("b"), F.col("component").alias("__c")), "b")
+            both.join(own.select(F.col("node").alias("b"), F.col("component").alias("__c")), "b")
             .groupBy(F.col("a").alias("node"))
             .agg(F.min("__c").alias("__c"))
         )
-        own = labels.join(near, "node").select("node", "component", F.least("component", "__c").alias("__new"))
+        seen = own.join(near, "node").select("node", "component", F.least("component", "__c").alias("__new"))
         # What a node learns is told to the node its label names, too, so that whole trees hook at once.
-        told = own.where("__new < component").select(F.col("component").alias("node"), F.col("__new").alias("__c"))
+        told = seen.where("__new < component").select(F.col("component").alias("node"), F.col("__new").alias("__c"))
         hooked = (
-            own.select("node", F.col("__new").alias("__c"))
+            seen.select("node", F.col("__new").alias("__c"))
             .unionByName(told)
             .groupBy("node")
             .agg(F.min("__c").alias("__new"))
         )
         hooked = materialize(hooked, "hooked")
-        up = hooked.select(F.col("node").alias("__new"), F.col("__new").alias("__up"))
+        up = small(hooked).select(F.col("node").alias("__new"), F.col("__new").alias("__up"))
         jumped = hooked.join(up, "__new", "left").select("node", F.least("__new", "__up").alias("__new"))
-        step = materialize(jumped.join(labels, "node").select("node", F.col("__new").alias("component"), (F.col("__new") < F.col("component")).alias("__moved")), "labels")
+        step = materialize(jumped.join(own, "node").select("node", F.col("__new").alias("component"), (F.col("__new") < F.col("component")).alias("__moved")), "labels")
         moved = step.where("__moved").limit(1).count()
         release(labels, hooked)
         labels = step
@@ -149,9 +147,16 @@ def small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def bounded_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Let Arrow hand texts to Python at most so many rows at a time, in this session: a batch is held on both
-    sides of the pipe, and the usual 10,000 long texts are too many. A smaller setting stays."""
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 512) -> Iterator[None]:
+    """Within it, Arrow hands texts to Python at most so many rows at a time: a batch is held on both sides of the
+    pipe, and the usual 10,000 long texts are too many. The setting is read when a plan runs, so what depends on it
+    has to be stored before the end. A smaller setting stays."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
+    was = spark.conf.get(key)
+    if not 0 < int(was) <= rows:
         spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was)

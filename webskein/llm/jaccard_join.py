@@ -2,49 +2,50 @@
 
 A document is the set of its distinct word shingles, as 64-bit hashes. Two sets link when
 their Jaccard similarity reaches percent / 100. Sets that link share a token among the
-first few of each set, its prefix, under any one total order of all tokens. Candidates
-come from the prefixes under a first order, in which frequent tokens are last; they must
-then share prefix tokens under the other orders, too, before their sets are compared.
-
-Only links between different sets matter, and of those only as many as tell which
-documents are connected. So
-1. documents with equal sets are one class, held by its least id;
-2. classes that agree on several min-hashes are compared with a few pivots, which
-   settles large groups of near copies with few comparisons (it only adds true links);
-3. the prefix filters look for links between what is then still apart, so no link that
+first few of each set, its prefix, under any one total order of all tokens. There are
+three orders: in the first, frequent tokens are last; the other two are of hashes. Every
+candidate comes from postings of the first order, at places that leave room for enough
+shared tokens, and goes on only if the prefixes under the second and the third order meet,
+too; an odd sketch of each set (the parity of its tokens' counts in cells) bounds the
+symmetric difference from below and drops what cannot link. All that is done on numbers;
+only the texts of what is left are moved and compared exactly.
+
+Only links between different sets matter, so
+1. documents with equal sets are one class, a node;
+2. each class is held against the least class of its postings (two of those at most), which
+   settles large groups of near copies with few comparisons;
+3. the rest of the postings is then looked at between what is still apart, so no link that
    joins two components is lost, and pairs within a component are never made.
 
-All links are within components, so the number of links of each document comes from exact
-comparisons inside each component, side by side in blocks; no pair is emitted for it.
-
-An odd sketch of each set (the parity of its tokens' counts in 1024 cells) bounds the
-symmetric difference from below, so it drops only pairs that cannot link.
+All links are within components. How many a document has is counted inside each component,
+in blocks: every class is held as its difference from the component's first class, few
+numbers for near copies, and the difference of two classes is that of their differences.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, components, materialize, small
+from .common import components, materialize, small, small_batches
 
 #: Frequent tokens that go last in the first order: a bounded table (8 MB), which costs or saves time only.
 FREQUENT_TOKENS = 1 << 19
 #: Tokens counted at once in a task, and the count there from which a token is reported.
 COUNTED_TOKENS, REPORTED = 1 << 21, 3
-BANDS, ROWS_PER_BAND, PIVOTS, SKETCH_WORDS = 8, 4, 12, 16
-#: Ids up to this many are broadcast (some 16 MB); beyond it the texts are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
-#: Pairs of one center that one task compares.
-LANE_PAIRS = 512
-#: Classes, and shingles in them, on one side of a block, more or less; shingles that are multiplied at once.
+#: Rows of up to 40 bytes that are broadcast; beyond it rows are joined by a shuffle.
+BROADCAST_ROWS = 500_000
+#: Texts that one task compares with one center.
+LANE_TEXTS = 64
+#: Classes, and shingles in their differences, on one side of a block, more or less; shingles that are multiplied at once.
 SIDE, SIDE_SHINGLES, COLUMNS = 512, 1 << 20, 4096
+#: Cells of the least sketch; a larger set has half as many cells as shingles, or up to as many.
+CELLS = 512
 _SEGMENT = 1 << 21
 _P = 0x9E3779B97F4A7C15
 #: Multipliers that make the second and third order and the sketch.
@@ -118,19 +119,19 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def _sketch(s: np.ndarray) -> np.ndarray:
-    odd = np.bincount((_mix(s * np.uint64(_ODD[3])) >> np.uint64(54)).astype(np.int64), minlength=1024) & 1
+def sketch_of(s: np.ndarray) -> np.ndarray:
+    """The odd sketch of a set, a power of two of cells, 64 in a number; halves folded together by exclusive or
+    are the sketch of half as many cells."""
+    cells = CELLS
+    while 2 * cells < len(s):
+        cells *= 2
+    odd = np.bincount((_mix(s * np.uint64(_ODD[3])) & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def _rows(ids: pa.Array, texts: pa.Array) -> Iterator[tuple[int | None, bytes | None]]:
-    for i in range(len(ids)):
-        yield ids[i].as_py(), texts[i].as_py()
-
-
-def _lists(parts: list[np.ndarray]) -> pa.Array:
+def _lists(parts: list[np.ndarray], kind=np.int64) -> pa.Array:
     ends = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else np.empty(0, np.int64), type=pa.int64()))
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else np.empty(0, kind), type=pa.from_numpy_dtype(kind)))
 
 
 def _digest(s: np.ndarray) -> np.ndarray:
@@ -138,12 +139,11 @@ def _digest(s: np.ndarray) -> np.ndarray:
     return np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), dtype=np.int64)
 
 
-SETS = "id long, n long, k1 long, k2 long, bands array<long>, sketch array<long>, token long, seen long"
+SETS = "id long, th long, n long, k1 long, k2 long, token long, seen long"
 
 
 def describe_sets(shingle: int):
-    """A function for mapInArrow: a row for each document, and rows (token, seen) of tokens that are not rare."""
-    odd = np.random.default_rng(1).integers(0, 2**63, BANDS * ROWS_PER_BAND, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    """A function for mapInArrow over (id, th, body): a row for each document, and rows (token, seen) of tokens that are not rare."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Shingler(shingle)
@@ -153,53 +153,49 @@ def describe_sets(shingle: int):
         def counted() -> pa.RecordBatch:
             token, seen = np.unique(np.concatenate(held) if held else np.empty(0, np.uint64), return_counts=True)
             token, seen = token[seen >= REPORTED], seen[seen >= REPORTED]
-            none, nested = pa.nulls(len(token), pa.int64()), pa.nulls(len(token), pa.list_(pa.int64()))
-            return pa.RecordBatch.from_arrays([none, none, none, none, nested, nested, pa.array(_signed(token)), pa.array(seen.astype(np.int64))], names=["id", "n", "k1", "k2", "bands", "sketch", "token", "seen"])
+            none = pa.nulls(len(token), pa.int64())
+            return pa.RecordBatch.from_arrays([none, none, none, none, none, pa.array(_signed(token)), pa.array(seen.astype(np.int64))], names=["id", "th", "n", "k1", "k2", "token", "seen"])
 
         for batch in batches:
-            ids, ns, k1, k2, bands, sketches = [], [], [], [], [], []
-            for i, text in _rows(batch.column(0), batch.column(1)):
-                s = make.set_of(text)
-                key = _digest(s)
-                ids.append(i)
+            ns, keys = [], []
+            for text in batch.column(2):
+                s = make.set_of(text.as_py())
                 ns.append(len(s))
-                k1.append(key[0])
-                k2.append(key[1])
-                if len(s):
-                    least = np.array([(s * o).min() for o in odd], dtype=np.uint64).reshape(BANDS, ROWS_PER_BAND)
-                    band = np.zeros(BANDS, dtype=np.uint64)
-                    for j in range(ROWS_PER_BAND):
-                        band = _mix(band * np.uint64(_P) + least[:, j])
-                    bands.append(_signed(band))
-                    sketches.append(_sketch(s))
-                    held.append(s)
-                    size += len(s)
-                else:
-                    bands.append(np.empty(0, np.int64))
-                    sketches.append(np.empty(0, np.int64))
+                keys.append(_digest(s))
+                held.append(s)
+                size += len(s)
                 if size >= COUNTED_TOKENS:
                     yield counted()
                     held, size = [], 0
-            none = pa.nulls(len(ids), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), _lists(bands), _lists(sketches), none, none], names=["id", "n", "k1", "k2", "bands", "sketch", "token", "seen"])
+            none = pa.nulls(len(ns), pa.int64())
+            k = np.array(keys, dtype=np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ns, pa.int64()), pa.array(k[:, 0]), pa.array(k[:, 1]), none, none], names=["id", "th", "n", "k1", "k2", "token", "seen"])
         yield counted()
 
     return run
 
 
-def prefixes(shingle: int, percent: int, frequent: np.ndarray):
-    """A function for mapInArrow: (id, prefix) under the first order: tokens that are not frequent by hash,
-    then frequent ones from the least frequent on. frequent: ascending hashes, and the place of each."""
+HEADS = "id long, k1 long, k2 long, sketch array<long>, first array<long>, second array<int>, third array<int>"
+
+
+def prefixes(shingle: int, percent: int, frequent: tuple[np.ndarray, np.ndarray]):
+    """A function for mapInArrow over (id, body): what the filters need of each set that is not empty.
+
+    first: the prefix under the first order, in that order: tokens that are not frequent
+    by hash, then frequent ones from the least frequent on; second and third: prefixes
+    under the other orders, 32 bits of each token, which may only let more pairs pass.
+    frequent: ascending hashes, and the place of each.
+    """
     known, place = frequent
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Shingler(shingle)
         for batch in batches:
-            ids, parts = [], []
-            for i, text in _rows(batch.column(0), batch.column(1)):
-                s = make.set_of(text)
+            ids, keys, sketches, parts = [], [], [], ([], [], [])
+            for i, text in zip(batch.column(0), batch.column(1), strict=True):
+                s = make.set_of(text.as_py())
                 p = prefix_length(len(s), percent)
-                if i is None or not p:
+                if not p:
                     continue
                 if len(known):
                     at = np.minimum(np.searchsorted(known, s), len(known) - 1)
@@ -210,55 +206,72 @@ def prefixes(shingle: int, percent: int, frequent: np.ndarray):
                         first = np.concatenate([first, rest[: p - len(first)]])
                 else:
                     first = s[:p]
-                ids.append(i)
-                parts.append(_signed(first))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), _lists(parts)], names=["id", "prefix"])
+                ids.append(i.as_py())
+                keys.append(_digest(s))
+                sketches.append(sketch_of(s))
+                parts[0].append(_signed(first))
+                for out, odd in zip(parts[1:], _ODD[1:3], strict=True):
+                    head = s[np.argpartition(_mix(s * np.uint64(odd)), p - 1)[:p]]
+                    out.append((head & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32))
+            k = np.array(keys, dtype=np.int64).reshape(-1, 2)
+            cols = [pa.array(ids, pa.int64()), pa.array(k[:, 0]), pa.array(k[:, 1]), _lists(sketches), _lists(parts[0]), _lists(parts[1], np.int32), _lists(parts[2], np.int32)]
+            yield pa.RecordBatch.from_arrays(cols, names=["id", "k1", "k2", "sketch", "first", "second", "third"])
 
     return run
 
 
-def compare_with_centers(shingle: int, percent: int):
-    """A function for mapInArrow over rows (a, lane, b, body) sorted by a, lane and b, nulls first: the text of a
-    center, b null, then those that are compared with it. Emits the pairs (a, b) that link.
+def links(na: int, nb: int, apart: int, percent: int) -> bool:
+    """Whether sets of these sizes, with so many tokens in one of them only, reach the similarity."""
+    return (100 - percent) * (na + nb) >= (100 + percent) * apart
 
-    A pair's prefixes under the second and third order must meet, too, before the sets
-    are compared. Only a center's set and that of the row at hand are held.
-    """
 
-    def heads(s: np.ndarray) -> list[np.ndarray]:
-        p = prefix_length(len(s), percent)
-        return [s[np.argpartition(_mix(s * np.uint64(odd)), p - 1)[:p]] for odd in _ODD[1:3]]
+def compare_with_centers(shingle: int, percent: int, differences: bool):
+    """A function for mapInArrow over rows (a, lane, b, k1, k2, body) sorted by a, lane and b, nulls first: the text
+    of a center, b null, then those that are compared with it. Emits the pairs (a, b) that link; with differences
+    every pair, and the tokens that are in one of the two sets only.
 
-    def links(one: np.ndarray, first: list[np.ndarray], two: np.ndarray, second: list[np.ndarray]) -> bool:
-        if not all(np.isin(x, y, kind="sort").any() for x, y in zip(first, second, strict=True)):
-            return False
-        shared = len(one) + len(two) - len(np.union1d(one, two))
-        return 100 * shared >= percent * (len(one) + len(two) - shared)
+    k1 and k2 are the digest of the set that is meant; a text whose set is another, as rows
+    that share an id may have, is passed over. Only two sets are held.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make, at, centers = Shingler(shingle), None, []  # more than one center only if rows share its id
+        make, at, center = Shingler(shingle), None, None
         for batch in batches:
-            out = []
-            for a, lane, b, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                s = make.set_of(body)
+            out, parts = [], []
+            for a, lane, b, k1, k2, body in zip(*batch.columns, strict=True):
+                a, lane, b = a.as_py(), lane.as_py(), b.as_py()
+                if b is None and at == (a, lane):
+                    continue
+                s = make.set_of(body.as_py())
+                if tuple(_digest(s)) != (k1.as_py(), k2.as_py()):
+                    continue
                 if b is None:
-                    centers = (centers if at == (a, lane) else []) + ([(s, heads(s))] if len(s) else [])
-                    at = (a, lane)
-                elif at == (a, lane) and len(s):
-                    h = heads(s)
-                    if any(links(x, y, s, h) for x, y in centers):
+                    at, center = (a, lane), s
+                elif at == (a, lane):
+                    both = np.concatenate([center, s])
+                    both.sort(kind="stable")
+                    same = both[1:] == both[:-1]
+                    if differences:
+                        once = np.ones(len(both), dtype=bool)
+                        once[1:] &= ~same
+                        once[:-1] &= ~same
+                        out.append((a, b))
+                        parts.append(_signed(both[once]))
+                    elif links(len(center), len(s), len(both) - 2 * int(same.sum()), percent):
                         out.append((a, b))
-            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+            cols = [pa.array([o[k] for o in out], pa.int64()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*cols, _lists(parts)] if differences else cols, names=["a", "b", "apart"][: 2 + differences])
 
     return run
 
 
-def linked_rows(sets: list[np.ndarray], m: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
-    """For each set the sum of m over the sets that link with it, of pairs between left and right (places in sets);
-    equal left and right: of all pairs. Exact: shared shingles are counted as products of 0/1 matrices."""
-    sizes = np.array([len(s) for s in sets], dtype=np.int64)
-    _, place, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    row, often = np.repeat(np.arange(len(sets)), sizes), times > 1
+def linked_rows(apart: list[np.ndarray], sizes: np.ndarray, m: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
+    """For each class the sum of m over the classes that link with it, of pairs between left and right (places); left
+    and right the same: of all pairs. apart: the differences from one common set. Exact: what two differences share
+    is counted as products of 0/1 matrices."""
+    own = np.array([len(d) for d in apart], dtype=np.int64)
+    _, place, times = np.unique(np.concatenate(apart), return_inverse=True, return_counts=True)
+    row, often = np.repeat(np.arange(len(apart)), own), times > 1
     kept = often[place]
     place, row = (np.cumsum(often) - 1)[place[kept]], row[kept]
     order = np.argsort(place, kind="stable")
@@ -267,11 +280,12 @@ def linked_rows(sets: list[np.ndarray], m: np.ndarray, left: np.ndarray, right:
     shared = np.zeros((len(left), len(right)))
     for lo in range(0, int(often.sum()), COLUMNS):
         a, b = np.searchsorted(place, (lo, lo + COLUMNS))
-        x = np.zeros((len(sets), COLUMNS), dtype=np.float32)
+        x = np.zeros((len(apart), COLUMNS), dtype=np.float32)
         x[row[a:b], place[a:b] - lo] = 1
         shared += x[left] @ x[right].T
-    link = 100 * shared >= percent * (sizes[left][:, None] + sizes[right][None, :] - shared)
-    out = np.zeros(len(sets), dtype=np.int64)
+    between = own[left][:, None] + own[right][None, :] - 2 * shared
+    link = (100 - percent) * (sizes[left][:, None] + sizes[right][None, :]) >= (100 + percent) * between
+    out = np.zeros(len(apart), dtype=np.int64)
     if same:
         np.fill_diagonal(link, False)
     else:
@@ -280,40 +294,38 @@ def linked_rows(sets: list[np.ndarray], m: np.ndarray, left: np.ndarray, right:
     return out
 
 
-def count_in_blocks(shingle: int, percent: int):
-    """A function for mapInArrow over rows (comp, i, j, side, k1, k2, m, body) sorted by comp, i and j.
+def count_in_blocks(percent: int):
+    """A function for mapInArrow over rows (comp, i, j, side, node, n, m, apart) sorted by comp, i and j.
 
     Rows of one (comp, i, j) are a block: side i of a component's classes against side j,
-    or side i against itself. Emits (k1, k2, n): n rows of other classes link with this
-    class. A text whose set is not that of its class, as rows that share an id may be, is
-    passed over. The sets of one block are held.
+    or side i against itself. Emits (node, others): so many rows of other classes link
+    with this class. The differences of one block are held.
     """
 
     def block(at: tuple, held: dict, out: list) -> None:
         if len(held) < 2:
             return
-        side, m, sets = (list(c) for c in zip(*held.values(), strict=True))
+        side, n, m, apart = (list(c) for c in zip(*held.values(), strict=True))
         left = np.flatnonzero(np.array(side) == at[1])
         right = left if at[1] == at[2] else np.flatnonzero(np.array(side) == at[2])
         if len(left) and len(right):
-            n = linked_rows(sets, np.array(m, dtype=np.int64), left, right, percent)
-            out.extend((*key, int(k)) for key, k in zip(held, n, strict=True) if k)
+            found = linked_rows(apart, np.array(n, dtype=np.int64), np.array(m, dtype=np.int64), left, right, percent)
+            out.extend((node, int(k)) for node, k in zip(held, found, strict=True) if k)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make, at, held, out = Shingler(shingle), None, {}, []
+        at, held, out = None, {}, []
 
         def made() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in range(3)], names=["k1", "k2", "n"])
+            return pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in range(2)], names=["node", "others"])
 
         for batch in batches:
-            for comp, i, j, side, k1, k2, m, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            numbers = [c.to_pylist() for c in batch.columns[:7]]
+            for k, (comp, i, j, side, node, n, m) in enumerate(zip(*numbers, strict=True)):
                 if at != (comp, i, j):
                     if at:
                         block(at, held, out)
                     at, held = (comp, i, j), {}
-                s = make.set_of(body)
-                if tuple(_digest(s)) == (k1, k2):
-                    held[(k1, k2)] = side, m, s
+                held[node] = side, n, m, batch.column(7)[k].values.to_numpy().copy()
             yield made()
             out = []
         if at:
@@ -323,132 +335,186 @@ def count_in_blocks(shingle: int, percent: int):
     return run
 
 
-def links_inside(classes: DataFrame, comps: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """(k1, k2, n): rows of other classes that link with each class; classes with none are left out.
-
-    Every two classes of a component are compared, so the work grows with the square of a
-    component, dealt out in blocks; a class's text moves once for each side of its
-    component. Only numbers come back.
-    """
-    known = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
-    known = materialize(known.select("rep", "k1", "k2", "m", "n", "comp"), "known")
-    groups = known.groupBy("comp").agg(F.count("*").alias("c"), F.sum("n").alias("all")).where("c > 1")
-    groups = groups.select("comp", F.greatest(F.ceil(F.col("c") / SIDE), F.ceil(F.col("all") / SIDE_SHINGLES)).cast("int").alias("sides"))
-    members = known.join(groups, "comp").select("rep", "k1", "k2", "m", "comp", "sides", F.pmod(F.xxhash64("k1", "k2"), F.col("sides")).cast("int").alias("side"))
-    members = small(materialize(members, "members"), BROADCAST_IDS // 4)
-    block = ["comp", "i", "j"]
-    placed = texts.join(members, texts["id"] == members["rep"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
-    placed = placed.select("comp", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "k1", "k2", "m", "body")
-    found = placed.repartition(*block).sortWithinPartitions(*block).mapInArrow(count_in_blocks(shingle, percent), "k1 long, k2 long, n long")
-    return materialize(found, "inside").groupBy("k1", "k2").agg(F.sum("n").alias("others"))
-
-
-def distance() -> Column:
-    """Cells in which the odd sketches sa and sb differ, at most as many as tokens do."""
-    return reduce(lambda a, b: a + b, [F.bit_count(F.col("sa")[i].bitwiseXOR(F.col("sb")[i])) for i in range(SKETCH_WORDS)])
+class Join:
+    """The steps of one join; texts: id, th (a hash of the text), body, all of them read more than once."""
+
+    def __init__(self, texts: DataFrame, shingle: int, percent: int):
+        self.texts, self.shingle, self.percent = texts, shingle, percent
+
+    def gathered(self, pairs: DataFrame, differences: bool = False) -> DataFrame:
+        """The pairs (a, b) of classes, given as stored rows, that link, or all with their differences. A pair moves
+        one text, b's, to its center a; a center of many pairs is several lanes, each with a copy of its text."""
+        nodes = self.classes.select("node", "id", "k1", "k2")
+        per = pairs.groupBy("a").agg(F.ceil(F.count("*") / LANE_TEXTS).cast("int").alias("lanes"))
+        lane = F.pmod(F.xxhash64("b"), F.col("lanes")).cast("int").alias("lane")
+        moved = pairs.join(per, "a").select("a", lane, "b", F.col("b").alias("node"))
+        centers = per.select("a", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)).alias("lane"), F.lit(None).cast("long").alias("b"), F.col("a").alias("node"))
+        wanted = materialize(moved.unionByName(centers).join(nodes, "node").drop("node"), "wanted")
+        rows = self.texts.join(small(wanted, BROADCAST_ROWS), "id").select("a", "lane", "b", "k1", "k2", "body")
+        rows = rows.repartition("a", "lane").sortWithinPartitions("a", "lane", F.col("b").asc_nulls_first())
+        return materialize(rows.mapInArrow(compare_with_centers(self.shingle, self.percent, differences), "a long, b long" + ", apart array<long>" * differences), "compared").dropDuplicates(["a", "b"])
+
+    def filtered(self, pairs: DataFrame, name: str) -> DataFrame:
+        """The stored pairs (a, b) that the sketches and the second and third order leave."""
+        pairs = materialize(pairs, name)
+
+        def beside(rows: DataFrame, by: str, cols: list[str]) -> DataFrame:
+            """(a, b) with those columns of class a or b, as <column><a or b>."""
+            return self.heads.select(F.col("node").alias(by), *[F.col(c).alias(c + by) for c in cols]).join(rows, by)
+
+        few = small(pairs, BROADCAST_ROWS)
+        near = beside(few, "a", ["n", "sketch"]).join(beside(few, "b", ["n", "sketch"]), ["a", "b"])
+        near = materialize(near.where(may_link(self.percent)).select("a", "b").distinct(), f"{name}-near")
+        few = small(near, BROADCAST_ROWS)
+        meet = beside(few, "a", ["second", "third"]).join(beside(few, "b", ["second", "third"]), ["a", "b"])
+        meet = meet.where(F.arrays_overlap("seconda", "secondb") & F.arrays_overlap("thirda", "thirdb"))
+        return materialize(meet.select("a", "b").distinct(), f"{name}-meet")
+
+    def room(self) -> Column:
+        """Whether sets of sizes n and n_ whose first common token is at places at and at_ can share enough."""
+        n, n_ = F.col("n").cast("long"), F.col("n_").cast("long")
+        return F.least(n - F.col("at"), n_ - F.col("at_")) * (100 + self.percent) >= self.percent * (n + n_)
+
+    def components(self) -> DataFrame:
+        """(node, component) of the classes that link with others; stores sets, classes and heads on the way."""
+        described = materialize(self.texts.mapInArrow(describe_sets(self.shingle), SETS), "described")
+        # The most frequent tokens, from the rarest on: a table of FREQUENT_TOKENS rows at most.
+        top = described.where("token is not null").groupBy("token").agg(F.sum("seen").alias("seen")).orderBy(F.desc("seen"), "token").limit(FREQUENT_TOKENS).toPandas()
+        known = top["token"].to_numpy(dtype=np.int64).view(np.uint64)
+        by_hash = np.argsort(known)
+        frequent = known[by_hash], (-np.arange(len(known)))[by_hash]
+
+        # 1. classes of equal sets, each with a number of its own and a row that stands for it
+        self.sets = described.where("n is not null").select("id", "th", "n", "k1", "k2")
+        per_id = self.sets.where("n > 0 and id is not null").groupBy("k1", "k2", "id").agg(F.count("*").alias("c"), F.first("n").alias("n"))
+        grouped = per_id.groupBy("k1", "k2").agg(F.min(F.struct("id", "c")).alias("least"), F.sum("c").alias("m"), F.first("n").alias("n"))
+        self.classes = materialize(grouped.select(F.monotonically_increasing_id().alias("node"), "k1", "k2", "least.id", (F.col("least.c") > 1).alias("again"), "m", "n"), "classes")
+        own = small(self.classes.select("id", "k1", "k2", "node", "n", "again"), BROADCAST_ROWS)
+        made = self.texts.select("id", "body").join(small(self.classes.select("id"), BROADCAST_ROWS), "id", "left_semi")
+        made = made.mapInArrow(prefixes(self.shingle, self.percent, frequent), HEADS)
+        heads = made.join(own, ["id", "k1", "k2"]).select("node", "n", "again", "sketch", "first", "second", "third")
+        heads = materialize(heads, "heads")
+        # Rows that repeat an id and its set are one.
+        self.heads = heads.where("not again").unionByName(heads.where("again").dropDuplicates(["node"])) if heads.where("again").limit(1).count() else heads
+
+        # 2. each class against the least of the classes that it shares postings with
+        posts = self.heads.select("node", F.col("n").cast("int").alias("n"), F.posexplode("first").alias("at", "token"))
+        shared = posts.groupBy("token").agg(F.count("*").alias("c"), F.min("node").alias("a")).where("c > 1").drop("c")
+        posts = materialize(posts.join(shared, "token"), "posts")
+        least = posts.where("node = a").select("token", F.col("n").alias("n_"), F.col("at").alias("at_"))
+        pivot = posts.where("node <> a").join(least, "token").where(self.room()).select("a", F.col("node").alias("b"))
+        best = pivot.groupBy("b", "a").agg(F.count("*").alias("c")).groupBy("b").agg(F.min("a").alias("x"), F.max_by("a", F.struct("c", -F.col("a"))).alias("y"))
+        best = best.select(F.explode(F.array_distinct(F.array("x", "y"))).alias("a"), "b")
+        linked = self.gathered(self.filtered(best, "pivots"))
+        merged = components(linked)
+
+        # 3. the postings between what is still apart
+        comp = small(merged, BROADCAST_ROWS)
+        posts = posts.drop("a").join(comp, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
+        apart = posts.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
+        posts = materialize(posts.join(apart, "token", "left_semi"), "apart")
+        comps = posts.select("token", "comp").distinct()
+        both = comps.join(comps.select("token", F.col("comp").alias("comp_")), "token").where("comp < comp_")
+        left = both.join(posts, ["token", "comp"]).select("token", "comp_", F.col("node").alias("a"), "n", "at")
+        right = posts.select(F.col("token").alias("t_"), F.col("comp").alias("c_"), F.col("node").alias("b"), F.col("n").alias("n_"), F.col("at").alias("at_"))
+        cross = left.join(right, (F.col("token") == F.col("t_")) & (F.col("comp_") == F.col("c_")) & self.room()).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        more = self.gathered(self.filtered(cross, "cross"))
+        if not more.limit(1).count():
+            return merged
+        return components(merged.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+
+    def others(self, found: DataFrame) -> DataFrame:
+        """(node, others): rows of other classes that link with each class of the components found."""
+        members = materialize(found.join(self.classes.select("node", "n", "m"), "node"), "members")
+        groups = members.groupBy("component").agg(F.count("*").alias("c"), F.sum("m").alias("all"))
+        members = members.join(groups, "component")
+        pair = members.where("c = 2").select("node", (F.col("all") - F.col("m")).alias("others"))
+        members = materialize(members.where("c > 2").select("node", "component", "n", "m"), "larger")
+        # The component is its first class, whose difference from itself is empty.
+        apart = materialize(self.gathered(members.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b")), differences=True), "differences")
+        apart = apart.select(F.col("b").alias("node"), "apart").unionByName(members.where("node = component").select("node", F.array().cast("array<long>").alias("apart")))
+        known = materialize(members.join(apart, "node"), "known")
+        sides = known.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / SIDE), F.ceil(F.sum(F.size("apart")) / SIDE_SHINGLES)).cast("int").alias("sides"))
+        placed = known.join(small(sides, BROADCAST_ROWS), "component").withColumn("side", F.pmod(F.xxhash64("node"), F.col("sides")).cast("int"))
+        placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
+        block = ["comp", "i", "j"]
+        placed = placed.select(F.col("component").alias("comp"), F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "node", "n", "m", "apart")
+        counted = placed.repartition(*block).sortWithinPartitions(*block).mapInArrow(count_in_blocks(self.percent), "node long, others long")
+        return pair.unionByName(materialize(counted, "inside").groupBy("node").agg(F.sum("others").alias("others")))
+
+
+def folded(sketch: Column, words: Column) -> Column:
+    """The sketch with so many numbers, a power of two up to its own."""
+    def cell(j: Column) -> Column:
+        return F.aggregate(F.sequence(j, F.size(sketch) - 1, words), F.lit(0).cast("long"), lambda acc, k: acc.bitwiseXOR(F.get(sketch, k)))
+
+    return F.when(F.size(sketch) == words, sketch).otherwise(F.transform(F.sequence(F.lit(0), words - 1), cell))
 
 
 def may_link(percent: int) -> Column:
-    """Size filter and odd-sketch bound for rows with na, nb, sa, sb."""
+    """Size filter and odd-sketch bound for rows with na, nb, sketcha, sketchb."""
     low, high = F.least("na", "nb"), F.greatest("na", "nb")
-    return (100 * low >= percent * high) & ((100 + percent) * distance() <= (100 - percent) * (F.col("na") + F.col("nb")))
-
-
-def verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that link. Each pair moves one text, b's, to its center a; a center of many pairs is
-    several lanes, each with a copy of its text. Pairs are few numbers a row and should be stored."""
-    per = pairs.groupBy("a").agg(F.count("*").alias("n"))
-    lanes = materialize(per.select("a", F.ceil(F.col("n") / LANE_PAIRS).cast("int").alias("lanes")), "lanes")
-    members = small(materialize(pairs.join(lanes, "a").select("a", F.pmod(F.xxhash64("b"), F.col("lanes")).cast("int").alias("lane"), "b"), "members"), BROADCAST_IDS)
-    centers = small(lanes, BROADCAST_IDS)
-    held = texts.join(centers, texts["id"] == centers["a"]).select("a", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)).alias("lane"), F.lit(None).cast("long").alias("b"), "body")
-    moved = texts.join(members, texts["id"] == members["b"]).select("a", "lane", "b", "body")
-    rows = held.unionByName(moved).repartition("a", "lane").sortWithinPartitions("a", "lane", F.col("b").asc_nulls_first())
-    return materialize(rows.mapInArrow(compare_with_centers(shingle, percent), "a long, b long").distinct(), "links")
-
-
-def jaccard_components(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", links: bool = False) -> DataFrame:
-    """id_col, n_shingles, class_id (least id with the same set), component_id (least id reachable by links);
-    with links also n_links, the number of other rows whose sets link with the row's.
-
-    A text without words has an empty set and links with nothing, so do null ids, whose
-    class and component are null. Rows that share an id are one node. Texts with equal
-    sets link. Repeated rows return repeated; an empty table gives no rows; other columns
-    are not read. The texts are read three times and never shuffled unless more than
-    BROADCAST_IDS documents have to be compared. Links are counted in one more read.
+    words = F.least(F.size("sketcha"), F.size("sketchb"))
+    cells = F.zip_with(folded(F.col("sketcha"), words), folded(F.col("sketchb"), words), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    distance = F.aggregate(cells, F.lit(0), lambda acc, x: acc + x)
+    return (100 * low >= percent * high) & ((100 + percent) * distance <= (100 - percent) * (F.col("na") + F.col("nb")))
+
+
+def joined_rows(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col: str, count: bool) -> DataFrame:
+    """id, th (a hash of the text), n, comp (a number of the component, null for rows that link with nothing), class_id,
+    component_id and, if asked for, n_links; a row for each of docs."""
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).cast("binary").alias("body"))
+    join = Join(texts, shingle, percent)
+    with small_batches(docs.sparkSession):
+        found = join.components()
+        known = join.classes.join(small(found, BROADCAST_ROWS), "node", "left").withColumn("comp", F.coalesce("component", "node"))
+        if count:
+            others = materialize(join.others(found), "others")
+            known = known.join(small(others, BROADCAST_ROWS), "node", "left")
+        known = materialize(known.select("k1", "k2", F.col("id").alias("class_id"), "comp", "m", *(["others"] if count else [])), "joined")
+    known = known.join(known.groupBy("comp").agg(F.min("class_id").alias("component_id")), "comp")
+    alone = F.col("id").isNull() | (F.col("n") == 0)
+    out = join.sets.join(small(materialize(known, "known"), BROADCAST_ROWS), ["k1", "k2"], "left")
+    own = lambda c: F.when(alone, F.col("id")).otherwise(F.col(c)).alias(c)
+    n_links = [F.when(alone, 0).otherwise(F.col("m") - 1 + F.coalesce("others", F.lit(0))).cast("long").alias("n_links")] if count else []
+    return out.select("id", "th", "n", F.when(~alone, F.col("comp")).alias("comp"), own("class_id"), own("component_id"), *n_links)
+
+
+def jaccard_components(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id_col, n_shingles, class_id (least id with the same set), component_id (least id reachable by links) and
+    n_links, the number of other rows whose sets link with the row's.
+
+    A text without words has an empty set and links with nothing, so do null ids; the
+    class and component of the former are its own id, of the latter null. Rows that share
+    an id but not their set are told apart; those that share both are repeats, which
+    link with each other. Repeated rows return repeated; an empty table gives no rows;
+    other columns are not read. Texts are read several times; only those of pairs that
+    pass all filters are shuffled.
     """
-    bounded_batches(docs.sparkSession)
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("body"))
-    described = materialize(texts.mapInArrow(describe_sets(shingle), SETS), "described")
-    # The most frequent tokens, from the rarest on: a table of FREQUENT_TOKENS rows at most.
-    top = described.where("token is not null").groupBy("token").agg(F.sum("seen").alias("seen")).orderBy(F.desc("seen"), "token").limit(FREQUENT_TOKENS).toPandas()
-    known = top["token"].to_numpy(dtype=np.int64).view(np.uint64)
-    by_hash = np.argsort(known)
-    frequent = known[by_hash], (-np.arange(len(known)))[by_hash]
-
-    # 1. classes of equal sets
-    sets = described.where("n is not null").select("id", "n", "k1", "k2")
-    full = sets.where("n > 0 and id is not null")
-    classes = materialize(full.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.count("*").alias("m")), "classes")
-    own = described.where("n > 0 and id is not null").join(classes.select("k1", "k2", F.col("rep").alias("id")), ["k1", "k2", "id"], "left_semi")
-    reps = materialize(own.select(F.col("id").alias("rep"), "n", "bands", "sketch").dropDuplicates(["rep", "n"]), "reps")
-
-    # 2. classes that share a band of min-hashes, against a few pivots of the band
-    bands = reps.select("rep", F.posexplode("bands").alias("band", "key"))
-    shared = bands.groupBy("band", "key").agg(F.count("*").alias("m")).where("m > 1").drop("m")
-    bands = materialize(bands.join(shared, ["band", "key"], "left_semi"), "bands")
-    member = bands.join(reps.select("rep", "n", "sketch"), "rep")
-    pivot = bands.groupBy("band", "key", F.pmod(F.xxhash64("rep"), F.lit(PIVOTS))).agg(F.min("rep").alias("rep")).select("band", "key", "rep")
-    pivot = pivot.join(reps.select("rep", "n", "sketch"), "rep")
-    left = member.select("band", "key", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-    right = pivot.select(F.col("band").alias("band_b"), F.col("key").alias("key_b"), F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-    near = left.join(right, (F.col("band") == F.col("band_b")) & (F.col("key") == F.col("key_b")) & (F.col("a") != F.col("b")) & may_link(percent))
-    # Of the pivots that a class may link with, the least, which most others take, too, and the nearest.
-    kept = near.groupBy(F.col("a").alias("b")).agg(F.min("b").alias("least"), F.min_by("b", F.struct(distance(), F.col("b"))).alias("nearest"))
-    kept = kept.select("b", F.explode(F.array_distinct(F.array("least", "nearest"))).alias("a"))
-    # A pair that both sides chose is one.
-    pairs = materialize(kept.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near")
-    merged = materialize(components(verified(pairs, texts, shingle, percent)), "merged")
-
-    # 3. prefix filter between what is still apart
-    now = reps.join(merged.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "n", "sketch", F.coalesce("component", "rep").alias("comp"))
-    now = materialize(now, "now")
-    heads = texts.mapInArrow(prefixes(shingle, percent, frequent), "id long, prefix array<long>").withColumnRenamed("id", "rep")
-    heads = materialize(heads.join(now.select("rep", "comp"), "rep").dropDuplicates(["rep", "prefix"]), "heads")
-    posts = heads.select("rep", "comp", F.explode("prefix").alias("token"))
-    apart = posts.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
-    posts = materialize(posts.join(apart, "token", "left_semi"), "posts")
-    posts = posts.drop("comp").join(now, "rep")
-    left = posts.select("token", F.col("rep").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-    right = posts.select(F.col("token").alias("token_b"), F.col("rep").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-    cross = left.join(right, (F.col("token") == F.col("token_b")) & (F.col("ca") < F.col("cb")) & may_link(percent))
-    pairs = materialize(cross.select("a", "b").distinct(), "cross")
-    more = verified(pairs, texts, shingle, percent)
-    merged_edges = merged.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
-    final = materialize(components(merged_edges), "components")
-
-    out = sets.join(classes.select("k1", "k2", "rep", "m"), ["k1", "k2"], "left")
-    counted = []
-    if links:
-        out = out.join(links_inside(classes, final, texts, shingle, percent), ["k1", "k2"], "left")
-        alone = F.col("id").isNull() | (F.col("n") == 0)
-        counted = [F.when(alone, 0).otherwise(F.col("m") - 1 + F.coalesce("others", F.lit(0))).cast("long").alias("n_links")]
-    rep = F.when(F.col("id").isNotNull(), F.coalesce("rep", "id"))
-    out = out.select("id", "n", rep.alias("node"), *counted).join(final, "node", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("node").alias("class_id"), F.coalesce("component", "node").alias("component_id"), *(["n_links"] if links else []))
+    rows = joined_rows(docs, shingle, percent, id_col, text_col, True)
+    return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "class_id", "component_id", "n_links")
 
 
 def keep_one_each(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns as they are, without those that another row stands for.
 
-    Of each component the row of the least id stays, and of rows that share an id one,
-    the first by its text's hash. Texts without words and rows without an id all stay.
+    Of each component one row stays: of the rows of its least id the one of the least text
+    hash, any one of them if they repeat. Texts without words and rows without an id all stay.
+    An empty table gives no rows.
     """
-    found = materialize(jaccard_components(docs, shingle, percent, id_col, text_col).select(F.col(id_col).alias("__id"), "component_id"), "components")
-    gone = materialize(found.where("component_id <> __id").select("__id").distinct(), "gone")
-    again = materialize(found.where("__id is not null").groupBy("__id").agg(F.count("*").alias("n")).where("n > 1").select("__id"), "again")
-    kept = docs.join(small(gone), F.col(id_col) == F.col("__id"), "left_anti")
-    twice = small(again)
-    first = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col), text_col)
-    one = kept.join(twice, F.col(id_col) == F.col("__id"), "left_semi").withColumn("__row", F.row_number().over(first)).where("__row = 1").drop("__row")
-    return kept.join(twice, F.col(id_col) == F.col("__id"), "left_anti").unionByName(one)
+    rows = joined_rows(docs, shingle, percent, id_col, text_col, False).where("comp is not null")
+    rows = materialize(rows.select(F.col("id").alias("__id"), F.col("th").alias("__th"), "comp", "component_id"), "found")
+    # Ids of more than one row are looked at by their texts, too.
+    again = materialize(rows.groupBy("__id").agg(F.count("*").alias("c")).where("c > 1").select("__id"), "again")
+    apart = materialize(rows.where("component_id <> __id").select("__id").unionByName(again).distinct(), "apart")
+    same = F.col(id_col) == F.col("__id")
+    once = docs.join(small(apart, BROADCAST_ROWS), same, "left_anti")
+    if not again.limit(1).count():
+        return once
+    own = materialize(rows.join(again, "__id", "left_semi").distinct(), "own")
+    stays = own.where("component_id = __id").groupBy("__id", "comp").agg(F.min("__th").alias("__th")).select("__id", "__th").distinct()
+    repeats = docs.join(small(again, BROADCAST_ROWS), same, "left_semi").withColumn("__hash", F.xxhash64(text_col))
+    text = same & (F.col("__hash") == F.col("__th"))
+    blank = repeats.join(own.select("__id", "__th").distinct(), text, "left_anti")
+    one = repeats.join(stays, text, "left_semi").dropDuplicates([id_col, "__hash"])
+    return once.unionByName(blank.unionByName(one).drop("__hash"))

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, held_out, materialize, seeded
+from .common import held_out, materialize, seeded, small_batches
 from .jaccard_join import Shingler, _mix
 
 #: Labelled rows that are learnt from at most, weights, passes over the sample.
@@ -70,7 +70,6 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, se
     hash, none of them held out, in the order of that hash. A row whose labels differ counts as
     the higher one. Only the weights reach the driver: DIMENSIONS numbers at most. No usable
     label: all weights 0."""
-    bounded_batches(docs.sparkSession)
     usable = labels.where(F.col(label_col).isin(0, 1) & ~held_out(F.col(id_col))).select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("label"))
     order = seeded(seed, F.col("__id"))
     sample = usable.groupBy("__id").agg(F.max("label").alias("label")).orderBy(order, "__id").limit(sample_rows)
@@ -97,7 +96,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, se
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(w[used], pa.float64())], names=["i", "w"])
 
     made = rows.mapInArrow(features, "o long, t long, label int, at array<int>, x array<float>")
-    made = materialize(made, "features")
+    with small_batches(docs.sparkSession):
+        made = materialize(made, "features")
     out = np.zeros(DIMENSIONS + 1)
     for r in made.repartition(1).sortWithinPartitions("o", "t", "label").mapInArrow(learn, "i long, w double").collect():
         out[r["i"]] = r["w"]
@@ -113,7 +113,6 @@ def quality(docs: DataFrame, labels: DataFrame, weights: np.ndarray | None = Non
     not read.
     """
     w = train(docs, labels, id_col=id_col, text_col=text_col) if weights is None else weights
-    bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,4 +125,6 @@ def quality(docs: DataFrame, labels: DataFrame, weights: np.ndarray | None = Non
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(dots, -35, 35))))], names=["id", "score"])
 
     out = docs.select(F.col(id_col), F.col(text_col).cast("binary")).mapInArrow(run, f"id {kind}, score double")
+    with small_batches(docs.sparkSession):
+        out = materialize(out, "scored")
     return out.select(F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

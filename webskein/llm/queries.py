@@ -29,10 +29,6 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read_table(spark, sf_dir, "documents"), shingle=4, percent=85)
 
 
-def op1_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(read_table(spark, sf_dir, "documents"), shingle=4, percent=85, links=True)
-
-
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
     return found.select("doc_id", "held_out", "score", "predicted", F.size("matches").alias("n_matches"))
@@ -79,7 +75,7 @@ def op10_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "hilbert")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_jaccard_join, op1_jaccard_links, op2_toxicity, op3_mix_sources, op4_fingerprints, op5_quality, op6_token_counts, op7_length_buckets, op8_secret_scan, op9_embedding_dedup, op10_hilbert_shards)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_jaccard_join, op2_toxicity, op3_mix_sources, op4_fingerprints, op5_quality, op6_token_counts, op7_length_buckets, op8_secret_scan, op9_embedding_dedup, op10_hilbert_shards)}
 ORACLES: dict[str, str] = {
     # Pairs come from shared shingles, counted; components by walking the links.
     "op1_jaccard_join": r"""
@@ -104,8 +100,8 @@ ORACLES: dict[str, str] = {
             FROM w LEFT JOIN s USING (doc_id) GROUP BY 1
         )
         SELECT n.doc_id, n.n AS n_shingles, component_id,
-               CASE WHEN whole IS NULL THEN n.doc_id ELSE min(n.doc_id) OVER (PARTITION BY whole) END AS class_id
-        FROM n JOIN least USING (doc_id) JOIN texts USING (doc_id)
+               CASE WHEN whole IS NULL THEN n.doc_id ELSE min(n.doc_id) OVER (PARTITION BY whole) END AS class_id, coalesce(l.c, 0)::BIGINT AS n_links
+        FROM n JOIN least USING (doc_id) JOIN texts USING (doc_id) LEFT JOIN (SELECT a AS doc_id, count(*) AS c FROM links GROUP BY 1) l USING (doc_id)
     """,
     # Every pair, in double precision; components by walking the links.
     "op9_embedding_dedup": """
@@ -127,9 +123,3 @@ ORACLES: dict[str, str] = {
         FROM least LEFT JOIN n USING (vec_id)
     """,
 }
-# The join's SQL and, for each document, the number of its links.
-ORACLES["op1_jaccard_links"] = f"""
-    WITH RECURSIVE {ORACLES["op1_jaccard_join"].split("WITH RECURSIVE", 1)[1].rsplit("SELECT n.doc_id", 1)[0]}
-    SELECT n.doc_id, n.n AS n_shingles, component_id, CASE WHEN whole IS NULL THEN n.doc_id ELSE min(n.doc_id) OVER (PARTITION BY whole) END AS class_id, coalesce(l.c, 0)::BIGINT AS n_links
-    FROM n JOIN least USING (doc_id) JOIN texts USING (doc_id) LEFT JOIN (SELECT a AS doc_id, count(*) AS c FROM links GROUP BY 1) l USING (doc_id)
-"""

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, held_out, materialize, seeded, small
+from .common import held_out, materialize, seeded, small, small_batches
 
 #: Labelled rows that are learnt from, and terms of the lexicon, at most.
 SAMPLE_ROWS, LEXICON_TERMS = 40_000, 4096
@@ -267,7 +267,11 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, se
     clean rows, on the executors. What reaches the driver is the terms that pass, a few
     clean words for each that is taken, a number a sampled row and PLACES numbers at most.
     """
-    bounded_batches(docs.sparkSession)
+    with small_batches(docs.sparkSession):
+        return _learn(docs, labels, sample_rows, seed, id_col, text_col, label_col)
+
+
+def _learn(docs: DataFrame, labels: DataFrame, sample_rows: int, seed: int, id_col: str, text_col: str, label_col: str) -> Model:
     usable = labels.where(F.col(label_col).isin(0, 1) & ~held_out(F.col(id_col))).select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("label"))
     sample = usable.groupBy("__id").agg(F.max("label").alias("label")).orderBy(seeded(seed, F.col("__id")), "__id").limit(sample_rows)
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("body")).join(F.broadcast(sample), "__id").select("body", "label")
@@ -338,7 +342,6 @@ MATCH = "struct<start:int,end:int,word:string,edits:int,weight:double>"
 
 def scored(docs: DataFrame, model: Model, id_col: str, text_col: str, keep: list[str]) -> DataFrame:
     """id_col, keep columns, total, score and matches of each text."""
-    bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     more = "".join(f", k{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)])
@@ -365,18 +368,19 @@ def toxicity(docs: DataFrame, labels: DataFrame, model: Model | None = None, id_
     are not read.
     """
     model = model or learn(docs, labels, id_col=id_col, text_col=text_col)
-    out = scored(docs.select(id_col, text_col), model, id_col, text_col, [])
+    with small_batches(docs.sparkSession):
+        out = materialize(scored(docs.select(id_col, text_col), model, id_col, text_col, []), "scored")
     return out.select(id_col, held_out(F.col(id_col)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "matches")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, model: Model | None = None, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns as they are, whose text scores below the threshold; null and empty texts stay."""
     model = model or learn(docs, labels, id_col=id_col, text_col=text_col)
-    bounded_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array([model.score(model.total(t)) < threshold for t in (x.as_py() for x in batch.column(at))], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    with small_batches(docs.sparkSession):
+        return materialize(docs.mapInArrow(run, docs.schema), "clean")
