@@ -9,13 +9,14 @@ and max. Runs are cut at equal row counts.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import global_rank
+from .common import global_rank, materialize, small
 
 #: A dictionary of up to this many values is broadcast (about 10 MB); beyond it the join shuffles.
 BROADCAST_VALUES = 100_000
@@ -68,7 +69,10 @@ def hilbert_shards(docs: DataFrame, n_shards: int = 24, bits: int = 8, id_col: s
     Returns id_col, the name columns, size (UTF-8 bytes of the text plus 8), text_crc32
     (unsigned, UTF-8), hilbert, shard, slot. Counts of shards are at most one apart and
     slots run from 0 without gaps. Only names, sizes and checksums are shuffled, never
-    the texts. A cell that holds a third of all rows is split by checksum and id.
+    the texts. Equal texts are one group: where their names differ they take the least
+    names of the group, so they follow each other on the curve; a group is in one shard
+    unless one of the n_shards - 1 cuts, which equal counts force, falls into it. A cell
+    that holds a third of all rows is split by the texts' hashes and ids.
 
     Null and empty texts have size 8 and checksum 0; null names are the least value;
     null ids are rows like others. Repeated rows each get a slot of their own. With
@@ -81,22 +85,30 @@ def hilbert_shards(docs: DataFrame, n_shards: int = 24, bits: int = 8, id_col: s
         *[F.col(c).alias(f"__n{i}") for i, c in enumerate(name_cols)],
         (F.octet_length(body).cast("long") + 8).alias("size"),
         F.crc32(body.cast("binary")).alias("text_crc32"),
+        F.xxhash64(body).alias("__text"),
     )
-    rows = rows.withColumn("__s", quantise_size(F.col("size"), bits))
     for i in range(len(name_cols)):
         rows = quantise_names(rows, f"__n{i}", f"__c{i}", bits)
-    dims = [*[f"__c{i}" for i in range(len(name_cols))], "__s"]
+    # The names of equal texts: one number, the least of the group's where they differ.
+    names = reduce(lambda a, c: a * (1 << bits) + F.col(c), [f"__c{i}" for i in range(len(name_cols))], F.lit(0).cast("long"))
+    rows = materialize(rows.withColumn("__names", names).drop(*[f"__c{i}" for i in range(len(name_cols))]), "named")
+    text = ["__text", "text_crc32", "size"]
+    differ = rows.groupBy(*text).agg(F.min("__names").alias("__least"), F.max("__names").alias("__most")).where("__least < __most").drop("__most")
+    rows = rows.join(small(materialize(differ, "differ"), BROADCAST_VALUES), text, "left").withColumn("__names", F.coalesce("__least", "__names"))
+    cells = [F.shiftright("__names", bits * i).bitwiseAND(F.lit((1 << bits) - 1)).alias(f"__c{i}") for i in reversed(range(len(name_cols)))]
+    rows = rows.select("*", *cells, quantise_size(F.col("size"), bits).alias("__s"))
+    dims = [*[f"__c{i}" for i in reversed(range(len(name_cols)))], "__s"]
 
     @F.pandas_udf("long")
     def curve(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         for parts in batches:
             yield pd.Series(hilbert_index(np.stack([p.to_numpy() for p in parts], axis=1), bits))
 
-    rows = rows.withColumn("hilbert", curve(*dims)).drop(*dims)
-    order = [F.col("hilbert"), F.col("text_crc32"), F.col("__id"), *[F.col(f"__n{i}") for i in range(len(name_cols))], F.col("size")]
+    rows = rows.withColumn("hilbert", curve(*dims)).drop(*dims, "__names", "__least")
+    order = [F.col("hilbert"), F.col("text_crc32"), F.col("__text"), F.col("__id"), *[F.col(f"__n{i}") for i in range(len(name_cols))], F.col("size")]
     ranked, n = global_rank(rows, order, "__rank")
-    shard = F.floor(F.col("__rank") * n_shards / F.lit(max(n, 1))) if n < 2**40 else F.expr(f"__rank * {n_shards} div {n}")
-    first = F.ceil(F.col("shard") * F.lit(n) / n_shards)
+    shard = F.expr(f"__rank * {n_shards} div {max(n, 1)}")
+    first = F.expr(f"(shard * {n} + {n_shards - 1}) div {n_shards}")
     return ranked.withColumn("shard", shard.cast("int")).select(
         F.col("__id").alias(id_col), *[F.col(f"__n{i}").alias(c) for i, c in enumerate(name_cols)],
         "size", "text_crc32", "hilbert", "shard", (F.col("__rank") - first).cast("long").alias("slot"),
