@@ -16,8 +16,8 @@ from .common import materialize, seeded, word_count
 WEIGHTS = (5, 2, 1)
 #: A source is used at most this many times over.
 MOST_PASSES = 3
-#: Words of one shard of the streams; block sizes follow the input so that there are some 260,000 blocks.
-SHARD_WORDS, LEAST_SHARDS, BLOCKS, LEAST_BLOCK, MOST_BLOCK = 4_000_000, 32, 1 << 18, 16, 4096
+#: Words of one shard of the streams; block sizes follow the input so that there are some 260,000 blocks, up to MOST_BLOCK words each.
+SHARD_WORDS, BLOCKS, LEAST_BLOCK, MOST_BLOCK = 4_000_000, 1 << 18, 16, 4096
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.0, passes: int = MOST_PASSES) -> DataFrame:
@@ -52,16 +52,19 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
 def apportion(parties: DataFrame, seats: str, votes: str, group: list[str], tie: list[Column], out: str) -> DataFrame:
     """Sainte-Lague: seats of each group dealt to its parties by the highest quotients votes / (2k + 1).
 
-    parties: rows with a group, its number of seats, and votes >= 0. The seats of a party
-    differ from its share of the votes by no more than half the number of parties plus
-    one, so only the quotients in that range are made and ranked; those below it are
-    won for certain. Equal quotients go by the order in tie.
+    parties: rows with a group, its number of seats, and votes >= 0. The divisor at which
+    votes / divisor, rounded, make up all seats is off from votes / seats by no more than
+    the rounding of all parties, so a party's seats differ from its share by half a seat
+    and its part of half the number of parties. Only the quotients in that range are
+    made and ranked, some two or three a party; those below it are won for certain.
+    Equal quotients go by the order in tie.
     """
     over = Window.partitionBy(*group)
     sized = parties.withColumn("__share", F.when(F.sum(votes).over(over) > 0, F.col(seats) * F.col(votes) / F.sum(votes).over(over)).otherwise(0.0))
-    reach = F.count("*").over(over) / 2 + 2
-    sized = sized.withColumn("__sure", F.greatest(F.lit(0), F.floor(F.col("__share") - reach)).cast("long"))
-    sized = sized.withColumn("__most", F.when(F.col(votes) > 0, F.ceil(F.col("__share") + reach)).otherwise(0).cast("long"))
+    half = F.sum(F.when(F.col(votes) > 0, 0.5).otherwise(0.0)).over(over)
+    sized = sized.withColumn("__reach", F.when(F.col(seats) > 0, F.col("__share") * half / F.col(seats)).otherwise(0.0) + 0.75)
+    sized = sized.withColumn("__sure", F.greatest(F.lit(0), F.floor(F.col("__share") - F.col("__reach"))).cast("long"))
+    sized = sized.withColumn("__most", F.when((F.col(votes) > 0) & (F.col(seats) > 0), F.ceil(F.col("__share") + F.col("__reach"))).otherwise(0).cast("long"))
     left = F.col(seats) - F.sum("__sure").over(over)
     offers = sized.withColumn("__left", left).withColumn("__k", F.explode_outer(F.when(F.col("__most") > F.col("__sure"), F.sequence("__sure", F.col("__most") - 1))))
     quotient = F.col(votes) / (2 * F.col("__k") + 1)
@@ -74,23 +77,23 @@ def apportion(parties: DataFrame, seats: str, votes: str, group: list[str], tie:
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shard_words: int = SHARD_WORDS) -> DataFrame:
     """How many words of each document the mix takes.
 
-    Returns id_col, source_col, size (words of the text), source_size, target (of its
+    Returns id_col, source_col, text_hash, size (words of the text), source_size, target (of its
     source), passes (whole passes over its shard), part (words of the further, partial
     pass), taken (passes * size + part, at most three times size).
 
     Null and empty texts have size 0 and give 0; a source without words has target 0;
     null sources are one source, last in order; null ids are rows like others; repeated
     rows each count. An empty table gives no rows. Two runs agree: the order of a stream
-    and the choice of blocks are hashes of the seed, ids and sizes. Texts are read once;
-    from there only ids, sources and sizes move. A hot source is split into shards.
+    and the choice of blocks are hashes of the seed, ids and texts. Texts are read once;
+    from there only ids, sources, sizes and hashes move. A hot source is split into shards.
     """
-    rows = materialize(docs.select(F.col(id_col).alias("__id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")), "sizes")
+    rows = materialize(docs.select(F.col(id_col).alias("__id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("__text")), "sizes")
     sources = rows.groupBy("source").agg(F.sum("size").alias("words"))
     total = sources.agg(F.sum("words")).first()[0] or 0
-    n_shards = max(LEAST_SHARDS, -(-total // shard_words))
+    n_shards = max(1, -(-total // shard_words))
     block = min(MOST_BLOCK, max(LEAST_BLOCK, total // BLOCKS))
 
-    shard = F.pmod(seeded(seed, F.col("__id"), F.col("size")), F.lit(n_shards)).cast("long")
+    shard = F.pmod(seeded(seed, F.col("__id"), F.col("__text")), F.lit(n_shards)).cast("long")
     cells = rows.groupBy("source", shard.alias("shard")).agg(F.sum("size").alias("cell_words"))
     cells = cells.withColumn("blocks", F.when(F.col("cell_words") > 0, F.greatest(F.lit(1), F.round(F.col("cell_words") / block))).otherwise(0).cast("long"))
     cells = materialize(cells, "cells")
@@ -118,7 +121,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: int =
     draw = Window.partitionBy("source", "shard").orderBy(seeded(seed + 1, F.col("source"), F.col("shard"), F.col("block")), "block")
     picked = block_of.withColumn("__r", F.row_number().over(draw)).where("__r <= chosen").select("source", "shard", "block")
 
-    stream = Window.partitionBy("source", "shard").orderBy(seeded(seed + 2, F.col("__id"), F.col("size")), "__id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    stream = Window.partitionBy("source", "shard").orderBy(seeded(seed + 2, F.col("__id"), F.col("__text")), "__id", "__text", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = rows.withColumn("shard", shard).withColumn("end", F.sum("size").over(stream)).withColumn("start", F.col("end") - F.col("size"))
     q = quotas.select(F.col("source").alias("__s"), F.col("shard").alias("__sh"), "cell_words", "blocks", "source_size", "target", "passes", "chosen")
     placed = placed.join(q, F.col("source").eqNullSafe(F.col("__s")) & (F.col("shard") == F.col("__sh"))).drop("__s", "__sh")
@@ -134,7 +137,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: int =
     part = hits.groupBy("__row").agg(F.sum("words").alias("part"))
     done = placed.join(part, "__row", "left").withColumn("part", F.coalesce("part", F.lit(0)))
     return done.select(
-        F.col("__id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "passes", "part",
+        F.col("__id").alias(id_col), F.col("source").alias(source_col), F.col("__text").alias("text_hash"), "size", "source_size", "target", "passes", "part",
         (F.col("passes") * F.col("size") + F.col("part")).alias("taken"),
     )
 
@@ -144,16 +147,16 @@ def take_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: int = 3,
 
     A row is repeated once for each whole pass. The words of the partial pass become a
     whole further copy with the chance that is their share of the row's words, drawn by
-    a hash of seed, id and size, so a source's words come near its target. Texts without
+    a hash of seed, id and text, so a source's words come near its target. Texts without
     words, of which the mix takes none, are left out.
     """
-    keys = ["__id", "__source", "__size"]
     mix = mix_sources(docs, weights, seed, id_col, text_col, source_col)
-    # Rows that agree in id, source and size may differ in what is taken; they share it.
-    mix = mix.groupBy(F.col(id_col).alias("__id"), F.col(source_col).alias("__source"), F.col("size").alias("__size")).agg(F.avg("taken").alias("__taken"))
-    sized = docs.withColumn("__words", word_count(F.col(text_col)))
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & F.col(source_col).eqNullSafe(F.col("__source")) & (F.col("__words") == F.col("__size"))
-    draw = F.pmod(seeded(seed + 3, F.col("__id"), F.col("__size")), F.lit(1 << 30)) / float(1 << 30)
+    # Rows that agree in id, source and text may differ in what is taken; they share it.
+    keys = [F.col(id_col).alias("__id"), F.col(source_col).alias("__source"), F.col("text_hash").alias("__hash"), F.col("size").alias("__size")]
+    mix = mix.groupBy(*keys).agg(F.avg("taken").alias("__taken")).where("__taken > 0")
+    hashed = docs.withColumn("__text", F.xxhash64(text_col))
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & F.col(source_col).eqNullSafe(F.col("__source")) & (F.col("__text") == F.col("__hash"))
+    draw = F.pmod(seeded(seed + 3, F.col("__id"), F.col("__hash")), F.lit(1 << 30)) / float(1 << 30)
     copies = F.floor(F.col("__taken") / F.col("__size") + draw).cast("int")
-    rows = sized.join(mix.where("__taken > 0"), same).withColumn("__copy", F.explode(F.array_repeat(F.lit(1), copies)))
-    return rows.drop(*keys, "__taken", "__words", "__copy")
+    rows = hashed.join(mix, same).withColumn("__copy", F.explode(F.array_repeat(F.lit(1), copies)))
+    return rows.drop("__id", "__source", "__hash", "__size", "__taken", "__text", "__copy")
