@@ -18,8 +18,9 @@ from .common import WORD
 #: Hashes of a sketch, words of a shingle. The error of a resemblance is at most 0.5 / sqrt(K) = 0.044.
 K, SHINGLE = 128, 5
 HASH_SPACE = 1 << 48
-#: Rows of one cell of the id order: what one window holds at once.
-ROWS_PER_CELL = 1024
+#: Rows of one cell of the id order, which one window sorts at once, and cells at most: their bounds are all that reaches
+#: the driver, 36 bytes each, so at 5 * 10^10 rows a cell has some 800,000.
+ROWS_PER_CELL, MOST_CELLS = 8192, 1 << 16
 
 
 def tokens(text: Column) -> Column:
@@ -76,37 +77,35 @@ def merge_groups(sketches: DataFrame, group: str, sketch: str = "sketch", k: int
     return whole.groupBy(group).agg(F.sort_array(F.collect_list("h")).alias(sketch))
 
 
-def _numbers(values: list[int]) -> Column:
-    """A constant array of longs, folded into one literal."""
-    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<long>") if values else F.array().cast("array<long>")
+def order_key(number: Column, body: Column) -> Column:
+    """A string that sorts by the number, null first, and then by the text's hash."""
+    number = F.lpad(F.hex(number.bitwiseXOR(F.lit(-(2**63)))), 16, "0")
+    return F.concat(F.coalesce(number, F.lit("")), F.lit("-"), F.lpad(F.hex(F.xxhash64(body)), 16, "0"))
 
 
-def next_in_order(docs: DataFrame, key: str, body: str, carry: list[str], rows_per_cell: int = ROWS_PER_CELL) -> DataFrame:
-    """docs with next_<c>, for each c in carry, of the next row in descending key (after the last: the first).
+def next_in_order(docs: DataFrame, key: str, carry: list[str], rows_per_cell: int = ROWS_PER_CELL) -> DataFrame:
+    """docs with next_<c>, for each c in carry, of the next row in descending key, a string (after the last: the first).
 
     The order is cut into cells by key; every row moves once, to its cell, and the first
-    row of each cell also to the end of the cell before. Rows of one key go by their
-    body's hash. Only one boundary a cell reaches the driver.
+    row of each cell also to the end of the cell before. Only one bound a cell reaches
+    the driver, MOST_CELLS at most. Rows of one key are next to each other in any order.
     """
     keys = docs.select(key)
-    n = keys.count()
-    cells = max(1, -(-n // rows_per_cell))
+    cells = min(MOST_CELLS, max(1, -(-keys.count() // rows_per_cell)))
     ranged = keys.repartitionByRange(cells, F.col(key).desc()).groupBy(F.spark_partition_id().alias("p")).agg(F.max(key).alias("first"))
     firsts = sorted({r["first"] for r in ranged.collect()}, reverse=True)
     step = max(1, math.isqrt(len(firsts)))
-    heads = firsts[::step]
-    groups = F.split(F.lit(";".join(",".join(map(str, firsts[i : i + step])) for i in range(0, len(firsts), step))), ";")
-    at = F.size(F.filter(_numbers(heads), lambda f: f >= F.col(key)))
-    rows = docs.withColumn("__at", at)
-    inside = F.split(F.element_at(groups, F.col("__at")), ",").cast("array<long>")
-    rows = rows.withColumn("__in", inside)
+    # Two levels of bounds, constants of the plan; a row looks at some sqrt(cells) of each.
+    at = F.size(F.filter(F.split(F.lit(",".join(firsts[::step])), ","), lambda f: f >= F.col(key)))
+    groups = F.split(F.lit(";".join(",".join(firsts[i : i + step]) for i in range(0, len(firsts), step))), ";")
+    rows = docs.withColumn("__at", at).withColumn("__in", F.split(F.element_at(groups, F.col("__at")), ","))
     rows = rows.withColumn("__cell", (F.col("__at") - 1) * step + F.size(F.filter("__in", lambda f: f >= F.col(key))) - 1)
-    is_first = F.exists("__in", lambda f: f == F.col(key))
     before = F.when(F.col("__cell") > 0, F.col("__cell") - 1).otherwise(len(firsts) - 1)
-    places = F.when(is_first, F.array(F.struct(F.col("__cell").alias("cell"), F.lit(False).alias("ghost")), F.struct(before.alias("cell"), F.lit(True).alias("ghost"))))
-    places = places.otherwise(F.array(F.struct(F.col("__cell").alias("cell"), F.lit(False).alias("ghost"))))
+    # Rows that share the key of a cell's first row go to the cell before, too: any of them may be the first there.
+    here = F.struct(F.col("__cell").alias("cell"), F.lit(False).alias("ghost"))
+    places = F.when(F.array_contains("__in", F.col(key)), F.array(here, F.struct(before.alias("cell"), F.lit(True).alias("ghost")))).otherwise(F.array(here))
     dealt = rows.withColumn("__place", F.explode(places)).drop("__at", "__in", "__cell")
-    order = Window.partitionBy("__place.cell").orderBy("__place.ghost", F.col(key).desc(), F.xxhash64(body), F.col(body))
+    order = Window.partitionBy("__place.cell").orderBy("__place.ghost", F.col(key).desc())
     led = dealt.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in carry])
     return led.where("not __place.ghost").drop("__place")
 
@@ -121,13 +120,14 @@ def fingerprint_edits(docs: DataFrame, k: int = K, id_col: str = "doc_id", text_
     (share of the text's shingles that the edited text has).
 
     Null texts count as empty; an empty text has an empty sketch, alike only to other
-    empty ones. Null ids come last; rows of one id follow each other by their text's
-    hash; a single row is its own next. An empty table gives no rows. Ids are integers;
-    other columns are not read.
+    empty ones. Null ids come last; rows of one id, or of none, follow each other by their
+    text's hash, descending; a single row is its own next. An empty table gives no rows.
+    Ids are integers; other columns are not read.
     """
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("key"), F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
+    body = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(order_key(F.col(id_col).cast("long"), body).alias("key"), F.col(id_col).alias("__id"), body.alias("body"))
     rows = rows.withColumn("toks", tokens(F.col("body"))).withColumn("sketch", bottom_k(F.col("toks"), k)).drop("toks")
-    rows = next_in_order(rows, "key", "body", ["body", "sketch"])
+    rows = next_in_order(rows, "key", ["body", "sketch"])
     n = F.char_length("body")
     cut = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring(F.col("body"), F.lit(1), n - cut), F.substring(F.col("next_body"), F.lit(1), cut))
