@@ -83,7 +83,10 @@ class TokenLedger:
 
     batches/<name>/entries and batches/<name>/rollup are written beside and renamed into
     place together. A compaction folds the rollups of named batches into one table, again
-    by one rename; batches that it names are then not read again for totals.
+    by one rename; batches that it names are then not read again for totals. The file
+    system has to rename folders in one step, and to fail, or to move into the folder that
+    is there, if the target exists, as HDFS and local disks do; an object store without
+    such a rename needs a committer of its own.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -143,28 +146,33 @@ class TokenLedger:
         # One row for each copy in force, as it was inserted.
         return left.withColumn("docs", F.explode(F.array_repeat(F.lit(1).cast("long"), F.col("docs").cast("int")))).select("doc_id", "source", "lang", "version", "docs", F.col("each").alias("tokens"))
 
-    def totals(self) -> DataFrame:
-        """source, lang, version, docs, tokens over all batches; groups that have come to nothing are left out."""
-        folded, done = self._names("folded"), set()
-        parts = []
-        if folded:
-            last = f"{self.path}/folded/{folded[-1]}"
-            done = {r["name"] for r in self.spark.read.parquet(f"{last}/names").collect()}
-            parts.append(f"{last}/rollup")
-        parts += [f"{self.path}/batches/{b}/rollup" for b in self.batches() if b not in done]
+    def totals(self, names: list[str] | None = None) -> DataFrame:
+        """source, lang, version, docs, tokens over all batches, or over those of the given names and all that are folded;
+        groups that have come to nothing are left out."""
+        names = self.batches() if names is None else names
+        folded = self._names("folded")[-1:]
+        done = self._done(folded)
+        parts = [f"{self.path}/folded/{f}/rollup" for f in folded]
+        parts += [f"{self.path}/batches/{b}/rollup" for b in names if b not in done]
         if not parts:
             return self.spark.createDataFrame([], "source string, lang string, version string, docs long, tokens long")
         rows = self.spark.read.parquet(*parts).groupBy(*GROUP).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
         return rows.where("docs <> 0 or tokens <> 0")
 
+    def _done(self, folded: list[str]) -> set[str]:
+        """The names of the batches that these compactions hold: a name a commit, not a row a document."""
+        return {r["name"] for f in folded for r in self.spark.read.parquet(f"{self.path}/folded/{f}/names").collect()}
+
     def fold(self) -> None:
-        """Fold the rollups of all batches there are now into one table."""
+        """Fold the rollups of all batches there are now into one table. Batches are listed once: one that is committed
+        while they are summed is in none of the two."""
         names = self.batches()
         if not names:
             return
-        staged, n = f"_staged-{uuid.uuid4().hex}", len(self._names("folded"))
-        self.totals().write.parquet(f"{self.path}/{staged}/rollup")
-        self.spark.createDataFrame([(b,) for b in names], "name string").write.parquet(f"{self.path}/{staged}/names")
+        folded = self._names("folded")
+        staged, n = f"_staged-{uuid.uuid4().hex}", len(folded)
+        self.totals(names).write.parquet(f"{self.path}/{staged}/rollup")
+        self.spark.createDataFrame([(b,) for b in sorted({*names, *self._done(folded[-1:])})], "name string").write.parquet(f"{self.path}/{staged}/names")
         self._publish(staged, f"folded/{n:06d}")
 
 
