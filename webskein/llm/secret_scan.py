@@ -151,27 +151,63 @@ def candidates(index: DataFrame, queries: dict[int, Query], key: str = "key") ->
     return held.groupBy(key).agg(F.sort_array(F.collect_set("rule")).alias("rules"))
 
 
-SPAN = "array<struct<start:long,place:int,end:long,kind:string>>"
+SPAN = "array<struct<start:long,place:int,end:long,kind:string,from:long,until:long>>"
+#: Numbers that are added up one after the other; longer lists are added up piece by piece.
+PIECE = 256
+
+
+def _let(value: Column, f) -> Column:
+    """f(value), with value worked out once."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def running(numbers: Column, op) -> Column:
+    """What op makes of each number and all before it, for an array of longs; op(a, b) is associative and op(0, b) is b.
+
+    An array grows by being copied, so each piece of PIECE numbers is worked through by
+    itself, then the pieces' last results, and then all is put together.
+    """
+    def in_order(xs: Column) -> Column:
+        grown = F.aggregate(xs, F.array(F.lit(0).cast("long")), lambda acc, x: F.concat(acc, F.array(op(F.element_at(acc, -1), x))))
+        return F.slice(grown, 2, F.size(xs))
+
+    def whole(xs: Column) -> Column:
+        pieces = F.transform(F.sequence(F.lit(1), F.size(xs), F.lit(PIECE)), lambda at: in_order(F.slice(xs, at, PIECE)))
+
+        def together(ps: Column) -> Column:
+            upto = in_order(F.transform(ps, lambda p: F.element_at(p, -1)))
+            before = F.concat(F.array(F.lit(0).cast("long")), F.slice(upto, 1, F.size(ps) - 1))
+            return F.flatten(F.zip_with(ps, before, lambda p, b: F.transform(p, lambda x: op(b, x))))
+
+        return _let(pieces, together)
+
+    return _let(numbers, lambda xs: F.when(F.size(xs) == 0, xs).when(F.size(xs) <= PIECE, in_order(xs)).otherwise(whole(xs)))
 
 
 def spans(body: Column, rule: Rule, place: int) -> Column:
-    """Leftmost matches that do not overlap, as structs of code point offsets; end is exclusive.
+    """Leftmost matches that do not overlap, as structs of offsets: start and end in code points, from and until in
+    bytes; ends are exclusive.
 
     The pieces between matches and the matches themselves are lists of strings; their
-    lengths, added up, are the offsets.
+    lengths, added up, are the offsets. Time grows with the text and its matches.
     """
     rx = F.lit(rule.regex)
-    gaps = F.split(body, rule.regex, -1)
-    pairs = F.arrays_zip(F.slice(gaps, 1, F.size(gaps) - 1).alias("gap"), F.regexp_extract_all(body, rx, F.lit(0)).alias("hit"), F.regexp_extract_all(body, rx, F.lit(rule.group)).alias("value"))
-    empty = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(SPAN).alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.char_length(x["gap"])
-        end = start + F.char_length(x["hit"])
-        span = F.struct(start.alias("start"), F.lit(place).alias("place"), end.alias("end"), F.lit(rule.kind).alias("kind"))
-        return F.struct(end.alias("at"), F.when(F.char_length(x["value"]) >= rule.least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+    def found(hits: Column) -> Column:
+        gaps = F.split(body, rule.regex, -1)
+
+        def ends(length) -> Column:
+            return running(F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, lambda g, h: (length(g) + length(h)).cast("long")), lambda a, b: a + b)
+
+        values = F.regexp_extract_all(body, rx, F.lit(rule.group))
+        each = F.arrays_zip(ends(F.char_length).alias("end"), ends(F.octet_length).alias("until"), hits.alias("hit"), values.alias("value"))
+        kept = F.filter(each, lambda x: F.char_length(x["value"]) >= rule.least)
+        return F.transform(kept, lambda x: F.struct(
+            (x["end"] - F.char_length(x["hit"])).alias("start"), F.lit(place).alias("place"), x["end"].alias("end"), F.lit(rule.kind).alias("kind"),
+            (x["until"] - F.octet_length(x["hit"])).alias("from"), x["until"].alias("until"),
+        ))
 
-    return F.when(F.regexp_like(body, rx), F.aggregate(pairs, empty, step, lambda acc: acc["out"])).otherwise(F.array().cast(SPAN))
+    return F.when(F.regexp_like(body, rx), _let(F.regexp_extract_all(body, rx, F.lit(0)), found)).otherwise(F.array().cast(SPAN))
 
 
 def _found(docs: DataFrame, rules: tuple[Rule, ...], id_col: str, text_col: str, keep: list[str]) -> DataFrame:
@@ -192,9 +228,9 @@ def _found(docs: DataFrame, rules: tuple[Rule, ...], id_col: str, text_col: str,
 
 
 def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The secrets of every whole text: id_col, body, spans (start, place, end, kind), by start and then place.
+    """The secrets of every whole text: id_col, body, spans (start, place, end, kind, from, until), by start and then place.
 
-    Offsets are code points, end exclusive; spans of one kind do not overlap, those of
+    start and end are offsets in code points, from and until in bytes, ends exclusive; spans of one kind do not overlap, those of
     different kinds may. Null texts count as empty and have no spans, as empty texts;
     null ids are rows like others; repeated rows are each scanned; an empty table gives
     no rows. Other columns are not read. Texts that are equal share one key of the
@@ -209,23 +245,34 @@ def joined(found: Column) -> Column:
 
 
 def redact(body: Column, found: Column, mark: str = "[SECRET]") -> Column:
-    """The text with the mark in place of each span; spans that overlap become one mark. found: sorted by start."""
-    empty = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+    """The text with the mark in place of each span; spans that overlap become one mark. found: sorted by start.
+
+    What lies between the spans is cut out of the text's bytes, and the pieces are put together once.
+    """
+    raw = body.cast("binary")
+
+    def parts(spans: Column) -> Column:
+        upto = running(F.transform(spans, lambda s: s["until"]), lambda a, b: F.greatest(a, b))
+
+        def pieces(ends: Column) -> Column:
+            before = F.concat(F.array(F.lit(0).cast("long")), F.slice(ends, 1, F.size(ends) - 1))
+            gaps = F.zip_with(spans, before, lambda s, b: F.when(s["from"] >= b, F.substring(raw, (b + 1).cast("int"), (s["from"] - b).cast("int")).cast("string")))
+            last = F.substring(raw, (F.element_at(ends, -1) + 1).cast("int"), F.octet_length(body)).cast("string")
+            return F.array_join(F.concat(F.filter(gaps, lambda g: g.isNotNull()), F.array(last)), mark)
 
-    def step(acc: Column, s: Column) -> Column:
-        piece = F.concat(acc["out"], F.substring(body, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit(mark))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], piece).otherwise(acc["out"]).alias("out"))
+        return _let(upto, pieces)
 
-    rest = lambda acc: F.concat(acc["out"], F.substring(body, (acc["at"] + 1).cast("int"), F.char_length(body)))
-    return F.when(F.size(found) > 0, F.aggregate(found, empty, step, rest)).otherwise(body)
+    return F.when(F.size(found) > 0, _let(found, parts)).otherwise(body)
 
 
-def redact_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
-    """The rows of docs with a mark in place of each secret, and the length in code points where the
-    text changed; null texts stay null and other columns as they are."""
+def redact_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
+    """The rows of docs with a mark in place of each secret, and the length in code points, if there is a column
+    length_col, where the text changed; null texts stay null and other columns as they are. An empty table gives no rows."""
     found = _found(docs, rules, id_col, text_col, docs.columns)
     hit = F.size("spans") > 0
     old = {c: F.col(f"__k{i}") for i, c in enumerate(docs.columns)}
     found = found.withColumn("__text", F.when(hit, redact(F.col("body"), F.col("spans"))).otherwise(old[text_col]))
-    new = {text_col: F.col("__text"), length_col: F.when(hit, F.char_length("__text")).otherwise(old[length_col]).cast(docs.schema[length_col].dataType)}
+    new = {text_col: F.col("__text")}
+    if length_col in docs.columns:
+        new[length_col] = F.when(hit, F.char_length("__text")).otherwise(old[length_col]).cast(docs.schema[length_col].dataType)
     return found.select(*[new.get(c, old[c]).alias(c) for c in docs.columns])
