@@ -233,9 +233,9 @@ def test_fingerprints(spark):
         if len(a | b) <= fingerprints.K:  # then the sketch is the whole set
             assert got[i]["near_next"] == pytest.approx(len(a & b) / len(a | b) if a | b else 1.0)
             assert got[i]["distinct_shingles"] == len(a)
-    many = frame(spark, [(i, t, "en", "a") for i, t in rows[:40]])
-    small = fingerprints.next_in_order(many.withColumn("key", F.col("doc_id")).withColumn("body", F.col("text")), "key", "body", ["key"], rows_per_cell=3)
-    assert {r["key"]: r["next_key"] for r in small.collect()} == {i: (i - 1) % 40 for i in range(40)}
+    many = frame(spark, [(i, t, "en", "a") for i, t in rows[:40]]).withColumn("key", fingerprints.order_key(F.col("doc_id"), F.col("text")))
+    small = fingerprints.next_in_order(many, "key", ["doc_id"], rows_per_cell=3)
+    assert {r["doc_id"]: r["next_doc_id"] for r in small.collect()} == {i: (i - 1) % 40 for i in range(40)}
 
 
 def test_sketches_merge(spark):

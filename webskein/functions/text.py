@@ -23,6 +23,11 @@ TAXONOMY = {
 }
 PLACEHOLDERS = "logo default placeholder avatar noimage no-image no_image siteicon site-icon site_icon missing".split()
 MOST_TAGS, LEAST_TAG_LENGTH = 15, 2
+# Patterns of numbers with a suffix and what it multiplies by, of dates, and of what parts a title from its site.
+NUMBER = r"(\d{1,3}(?:[,\s]\d{3})+|\d+(?:\.\d+)?)\s*([kKmMbB千万亿]?)"
+TIMES = {"": 1, "k": 10**3, "千": 10**3, "万": 10**4, "m": 10**6, "亿": 10**8, "b": 10**9}
+DATES = (r"\b(\d{4})-(\d{1,2})-(\d{1,2})", r"\b(\d{4})/(\d{1,2})/(\d{1,2})\b", r"(\d{4})年\s*(\d{1,2})月\s*(\d{1,2})日?")
+BARS, BAR_OR_DASH = r"\s*[|｜]\s*", r"\s*[|｜\-–—]\s*"
 ZERO_SIMHASH = "0" * 16
 
 
@@ -32,17 +37,16 @@ def clean(text: Column) -> Column:
 
 def metric_number(text: Column) -> Column:
     """The first number: grouped thousands, decimals, a suffix for thousands, millions or billions; null if there is none."""
-    number = r"(\d{1,3}(?:[,\s]\d{3})+|\d+(?:\.\d+)?)\s*([kKmMbB千万亿]?)"
-    digits = F.regexp_replace(F.regexp_extract(text, number, 1), r"[,\s]", "")
-    suffix = F.lower(F.regexp_extract(text, number, 2))
-    times = F.when(suffix.isin("k", "千"), 1e3).when(suffix == "万", 1e4).when(suffix == "m", 1e6).when(suffix == "亿", 1e8).when(suffix == "b", 1e9).otherwise(1.0)
+    digits = F.regexp_replace(F.regexp_extract(text, NUMBER, 1), r"[,\s]", "")
+    suffix = F.lower(F.regexp_extract(text, NUMBER, 2))
+    times = F.element_at(F.create_map(*[F.lit(x) for pair in TIMES.items() for x in pair]), suffix).cast("double")
     return F.when(digits != "", F.floor(digits.try_cast("double") * times).cast("long"))
 
 
 def date_of(text: Column) -> Column:
     """The first year-month-day of 1970 to 2099, by dashes, slashes or signs, padded; "" if there is none. Days run to 31 in every month."""
     found = []
-    for rx in (r"\b(\d{4})-(\d{1,2})-(\d{1,2})", r"\b(\d{4})/(\d{1,2})/(\d{1,2})\b", r"(\d{4})年\s*(\d{1,2})月\s*(\d{1,2})日?"):
+    for rx in DATES:
         y, m, d = (F.regexp_extract(text, rx, i).try_cast("int") for i in (1, 2, 3))
         ok = y.between(1970, 2099) & m.between(1, 12) & d.between(1, 31)
         found.append(F.when(ok, F.concat_ws("-", y, F.lpad(m.cast("string"), 2, "0"), F.lpad(d.cast("string"), 2, "0"))))
@@ -52,9 +56,9 @@ def date_of(text: Column) -> Column:
 def strip_site(title: Column, chain: bool) -> Column:
     """The head of "Title | Site". chain: only if two bars or more part it, else at the first bar or dash."""
     if chain:
-        parts = F.split(title, r"\s*[|｜]\s*")
+        parts = F.split(title, BARS)
         return F.when(F.size(parts) < 3, clean(title)).otherwise(clean(parts[0]))
-    return clean(F.split(title, r"\s*[|｜\-–—]\s*", 2)[0])
+    return clean(F.split(title, BAR_OR_DASH, 2)[0])
 
 
 def srcset_best(srcset: Column) -> Column:
@@ -113,13 +117,28 @@ def hamming(a: Column, b: Column) -> Column:
     return F.coalesce(F.bit_count(number(a).bitwiseXOR(number(b))), F.lit(64))
 
 
+#: Hashes of words and pairs that a worker remembers.
+_KNOWN: dict[str, bytes] = {}
+REMEMBERED = 1 << 18
+
+
+def _hashed(gram: str) -> bytes:
+    """The first eight bytes of a SHA-256."""
+    found = _KNOWN.get(gram)
+    if found is None:
+        if len(_KNOWN) >= REMEMBERED:
+            _KNOWN.clear()
+        found = _KNOWN[gram] = sha256(gram.encode()).digest()[:8]
+    return found
+
+
 def simhash_of(text: str | None) -> str:
     """16 hex digits: words and pairs of words, as often as they occur, vote with the bits of the first eight bytes of their SHA-256."""
     words = (text or "").lower().split()
     if not words:
         return ZERO_SIMHASH
     grams = Counter([*words, *map(" ".join, zip(words, words[1:]))])
-    bits = np.unpackbits(np.frombuffer(b"".join(sha256(g.encode()).digest()[:8] for g in grams), dtype=np.uint8).reshape(-1, 8), axis=1)
+    bits = np.unpackbits(np.frombuffer(b"".join(map(_hashed, grams)), dtype=np.uint8).reshape(-1, 8), axis=1)
     count = np.fromiter(grams.values(), dtype=np.int64, count=len(grams))
     votes = 2 * (count @ bits) - count.sum()
     return np.packbits(votes > 0).tobytes().hex()

@@ -20,7 +20,7 @@ K, SHINGLE = 128, 5
 HASH_SPACE = 1 << 48
 #: Rows of one cell of the id order, which one window sorts at once, and cells at most: their bounds are all that reaches
 #: the driver, 36 bytes each, so at 5 * 10^10 rows a cell has some 800,000.
-ROWS_PER_CELL, MOST_CELLS = 8192, 1 << 16
+ROWS_PER_CELL, MOST_CELLS = 2048, 1 << 16
 
 
 def tokens(text: Column) -> Column:

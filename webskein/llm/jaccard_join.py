@@ -12,7 +12,7 @@ only the texts of what is left are moved and compared exactly.
 
 Only links between different sets matter, so
 1. documents with equal sets are one class, a node;
-2. each class is held against the least class of its postings (two of those at most), which
+2. each class is held against two of its postings that have most others beside them, which
    settles large groups of near copies with few comparisons;
 3. the rest of the postings is then looked at between what is still apart, so no link that
    joins two components is lost, and pairs within a component are never made.
@@ -25,6 +25,7 @@ numbers for near copies, and the difference of two classes is that of their diff
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +41,8 @@ FREQUENT_TOKENS = 1 << 19
 COUNTED_TOKENS, REPORTED = 1 << 21, 3
 #: Rows of up to 40 bytes that are broadcast; beyond it rows are joined by a shuffle.
 BROADCAST_ROWS = 500_000
+#: Classes of a list of postings that all others are held against first.
+PIVOTS = 4
 #: Texts that one task compares with one center.
 LANE_TEXTS = 64
 #: Classes, and shingles in their differences, on one side of a block, more or less; shingles that are multiplied at once.
@@ -371,9 +374,8 @@ class Join:
         return materialize(meet.select("a", "b").distinct(), f"{name}-meet")
 
     def room(self) -> Column:
-        """Whether sets of sizes n and n_ whose first common token is at places at and at_ can share enough."""
-        n, n_ = F.col("n").cast("long"), F.col("n_").cast("long")
-        return F.least(n - F.col("at"), n_ - F.col("at_")) * (100 + self.percent) >= self.percent * (n + n_)
+        """Whether sets of sizes n and n_, of which so much as left and left_ comes from their first common token on, can share enough."""
+        return F.least("left", "left_").cast("long") * (100 + self.percent) >= self.percent * (F.col("n").cast("long") + F.col("n_"))
 
     def components(self) -> DataFrame:
         """(node, component) of the classes that link with others; stores sets, classes and heads on the way."""
@@ -397,32 +399,53 @@ class Join:
         # Rows that repeat an id and its set are one.
         self.heads = heads.where("not again").unionByName(heads.where("again").dropDuplicates(["node"])) if heads.where("again").limit(1).count() else heads
 
-        # 2. each class against the least of the classes that it shares postings with
+        # 2. each class against classes that share many postings with others
         posts = self.heads.select("node", F.col("n").cast("int").alias("n"), F.posexplode("first").alias("at", "token"))
-        shared = posts.groupBy("token").agg(F.count("*").alias("c"), F.min("node").alias("a")).where("c > 1").drop("c")
-        posts = materialize(posts.join(shared, "token"), "posts")
-        least = posts.where("node = a").select("token", F.col("n").alias("n_"), F.col("at").alias("at_"))
-        pivot = posts.where("node <> a").join(least, "token").where(self.room()).select("a", F.col("node").alias("b"))
-        best = pivot.groupBy("b", "a").agg(F.count("*").alias("c")).groupBy("b").agg(F.min("a").alias("x"), F.max_by("a", F.struct("c", -F.col("a"))).alias("y"))
-        best = best.select(F.explode(F.array_distinct(F.array("x", "y"))).alias("a"), "b")
-        linked = self.gathered(self.filtered(best, "pivots"))
+        shared = posts.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
+        posts = materialize(posts.join(shared, "token", "left_semi"), "shared")
+        # Tokens whose postings are the same, such as those of one passage, are one list, at their first place in each set.
+        lists = posts.groupBy("token").agg(F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("nodes")).select("token", F.xxhash64("nodes").alias("list"))
+        posts = materialize(posts.join(lists, "token").groupBy("list", "node").agg(F.min("at").alias("at"), F.first("n").alias("n"), F.count("*").alias("tokens")), "posts")
+        linked = self.gathered(self.filtered(self.near_pivots(posts), "pivots"))
         merged = components(linked)
 
         # 3. the postings between what is still apart
-        comp = small(merged, BROADCAST_ROWS)
-        posts = posts.drop("a").join(comp, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
-        apart = posts.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
-        posts = materialize(posts.join(apart, "token", "left_semi"), "apart")
-        comps = posts.select("token", "comp").distinct()
-        both = comps.join(comps.select("token", F.col("comp").alias("comp_")), "token").where("comp < comp_")
-        left = both.join(posts, ["token", "comp"]).select("token", "comp_", F.col("node").alias("a"), "n", "at")
-        right = posts.select(F.col("token").alias("t_"), F.col("comp").alias("c_"), F.col("node").alias("b"), F.col("n").alias("n_"), F.col("at").alias("at_"))
-        cross = left.join(right, (F.col("token") == F.col("t_")) & (F.col("comp_") == F.col("c_")) & self.room()).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        posts = self.apart(posts, merged)
+        # Components of a list are paired by what the best of their classes could share; only classes of such pairs meet.
+        best = posts.groupBy("list", "comp", "band").agg(F.min("n").alias("n"), F.max(F.col("n") - F.col("at")).alias("left"))
+        near = best.select("list", "comp", "band", "n", "left", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)).alias("other"))
+        both = near.join(best.toDF("l_", "comp_", "band_", "n_", "left_"), (F.col("list") == F.col("l_")) & (F.col("other") == F.col("band_")) & (F.col("comp") < F.col("comp_")) & self.room())
+        one = both.select("list", "comp", "band", "comp_", "band_").join(posts.withColumnRenamed("node", "a"), ["list", "comp", "band"])
+        two = posts.select(F.col("list").alias("l_"), F.col("comp").alias("c_"), F.col("band").alias("b_"), F.col("node").alias("b"), F.col("n").alias("n_"), (F.col("n") - F.col("at")).alias("left_"))
+        same = (F.col("list") == F.col("l_")) & (F.col("comp_") == F.col("c_")) & (F.col("band_") == F.col("b_"))
+        cross = one.withColumn("left", F.col("n") - F.col("at")).join(two, same & self.room()).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         more = self.gathered(self.filtered(cross, "cross"))
         if not more.limit(1).count():
             return merged
         return components(merged.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 
+    def near_pivots(self, posts: DataFrame) -> DataFrame:
+        """(a, b): of the pivots of its lists, PIVOTS a list, the one that shares most tokens with each class b, and the
+        one that most classes are beside. A pivot is a class that has many others in its lists, as the text has from
+        which a group of near copies was made."""
+        lists = posts.groupBy("list").agg(F.count("*").alias("c"))
+        known = posts.join(lists, "list").groupBy("node").agg(F.sum(F.col("c") * F.col("tokens")).alias("beside"))
+        weighed = materialize(posts.join(known, "node"), "weighed")
+        lane = F.pmod(F.xxhash64("node"), F.lit(PIVOTS))
+        pivots = weighed.groupBy("list", lane).agg(F.max(F.struct("beside", "node", "n", "at")).alias("p"))
+        pivots = pivots.select("list", F.col("p.node").alias("a"), F.col("p.beside").alias("beside_"), F.col("p.n").alias("n_"), (F.col("p.n") - F.col("p.at")).alias("left_"))
+        near = weighed.withColumn("left", F.col("n") - F.col("at")).join(pivots, "list").where((F.col("node") != F.col("a")) & self.room()).groupBy("node", "a", "beside_").agg(F.sum("tokens").alias("shared"))
+        best = near.groupBy(F.col("node").alias("b")).agg(F.max_by("a", F.struct("beside_", "a")).alias("x"), F.max_by("a", F.struct("shared", "beside_", "a")).alias("y"))
+        return best.select(F.explode(F.array_distinct(F.array("x", "y"))).alias("a"), "b")
+
+    def apart(self, posts: DataFrame, merged: DataFrame) -> DataFrame:
+        """The postings of lists that hold more than one component, with the component."""
+        posts = posts.join(small(merged, BROADCAST_ROWS), "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
+        lists = posts.groupBy("list").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("list")
+        # Sets that link are of the same band of sizes, or of neighbouring ones.
+        band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / self.percent + 1e-9))
+        return materialize(posts.join(lists, "list", "left_semi").withColumn("band", band), "apart")
+
     def others(self, found: DataFrame) -> DataFrame:
         """(node, others): rows of other classes that link with each class of the components found."""
         members = materialize(found.join(self.classes.select("node", "n", "m"), "node"), "members")

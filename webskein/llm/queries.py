@@ -14,7 +14,7 @@ from .jaccard_join import jaccard_components
 from .mixing import mix_sources
 from .packing import pack_batches
 from .quality import quality
-from .secret_scan import joined, scan_secrets
+from .secret_scan import RULES, joined, scan_secrets
 from .sharding import hilbert_shards
 from .token_counts import BytePairs, Words, token_rollup
 from .toxicity import toxicity
@@ -75,7 +75,23 @@ def op10_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "hilbert")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_jaccard_join, op2_toxicity, op3_mix_sources, op4_fingerprints, op5_quality, op6_token_counts, op7_length_buckets, op8_secret_scan, op9_embedding_dedup, op10_hilbert_shards)}
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix aims at: a row for each source."""
+    found = mix_sources(read_table(spark, sf_dir, "documents"))
+    return found.groupBy("source", "source_size", "target").agg(F.count("*").alias("n_docs"))
+
+
+def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of the fingerprints that SQL can work out."""
+    return fingerprint_edits(read_table(spark, sf_dir, "documents")).select("doc_id", "n_chars", "edited_sha256")
+
+
+def word_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The token ledger with tokenizers that SQL has, too."""
+    return token_rollup(read_table(spark, sf_dir, "documents"), scratch(spark, "ledger"), Words("words-0"), Words("words-1"), Words("letters-2", r"\p{L}+"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_jaccard_join, op2_toxicity, op3_mix_sources, op4_fingerprints, op5_quality, op6_token_counts, op7_length_buckets, op8_secret_scan, op9_embedding_dedup, op10_hilbert_shards, mix_targets, edited_texts, word_rollup)}
 ORACLES: dict[str, str] = {
     # Pairs come from shared shingles, counted; components by walking the links.
     "op1_jaccard_join": r"""
@@ -123,3 +139,52 @@ ORACLES: dict[str, str] = {
         FROM least LEFT JOIN n USING (vec_id)
     """,
 }
+
+def _spans_sql() -> str:
+    """Each rule's matches by the lengths of what lies between them and of themselves, added up."""
+    parts = []
+    for place, rule in enumerate(RULES):
+        rx = rule.regex.replace("'", "''")
+        parts.append(f"""
+            SELECT doc_id, {place} AS place, '{rule.kind}' AS kind, e[i] - length(m[i]) AS start, e[i] AS "end" FROM (
+                SELECT doc_id, m, v, list_transform(range(1, len(m) + 1), lambda k: list_sum(list_transform(g[1:k], lambda x: length(x))) + list_sum(list_transform(m[1:k], lambda x: length(x)))) AS e, unnest(range(1, len(m) + 1)) AS i
+                FROM (SELECT doc_id, regexp_extract_all(t, '{rx}', 0) AS m, regexp_extract_all(t, '{rx}', {rule.group}) AS v, string_split_regex(t, '{rx}') AS g FROM d)
+            ) WHERE length(v[i]) >= {rule.least}""")
+    return f"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), s AS ({" UNION ALL ".join(parts)}), joined AS (
+            SELECT doc_id, count(*) FILTER (WHERE place = 0) AS a, count(*) FILTER (WHERE place = 1) AS b, count(*) FILTER (WHERE place = 2) AS c,
+                   string_agg(kind || ':' || start::BIGINT || ':' || "end"::BIGINT, ',' ORDER BY start, place) AS spans, string_agg(kind || ':' || start::BIGINT || ':' || "end"::BIGINT, ',' ORDER BY start, place) FILTER (WHERE place < 3) AS base
+            FROM s GROUP BY 1
+        )
+        SELECT doc_id, coalesce(a, 0)::BIGINT AS n_assign, coalesce(b, 0)::BIGINT AS n_access, coalesce(c, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+        FROM d LEFT JOIN joined USING (doc_id)"""
+
+
+ORACLES["op8_secret_scan"] = _spans_sql()
+# The water level: sources fill up in order of capacity by weight, and what they leave goes to the rest by weight.
+ORACLES["mix_targets"] = r"""
+    WITH s AS (
+        SELECT source, sum(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)) AS words, count(*) AS n_docs FROM documents GROUP BY 1
+    ), w AS (
+        SELECT *, [5.0, 2.0, 1.0][1 + (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3]::DOUBLE AS w, 3.0::DOUBLE * words AS cap FROM s
+    ), o AS (
+        SELECT *, sum(words) OVER () AS total, coalesce(sum(cap) OVER by_level, 0) AS below, sum(w) OVER () - coalesce(sum(w) OVER by_level, 0) AS rest FROM w
+        WINDOW by_level AS (ORDER BY cap / w, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+    ), l AS (
+        SELECT min((total - below) / rest) FILTER (WHERE (total - below) / rest * w <= cap) AS level FROM o
+    )
+    SELECT source, words::BIGINT AS source_size, coalesce(least(level * w, cap), cap) AS target, n_docs FROM o, l
+"""
+ORACLES["edited_texts"] = """
+    WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), o AS (
+        SELECT doc_id, t, length(t)::BIGINT AS n, coalesce(lead(t) OVER (ORDER BY doc_id DESC), first_value(t) OVER (ORDER BY doc_id DESC)) AS nxt FROM t
+    )
+    SELECT doc_id, n AS n_chars, sha256(substr(t, 1, n - n // 3) || substr(nxt, 1, n // 3)) AS edited_sha256 FROM o
+"""
+ORACLES["word_rollup"] = r"""
+    SELECT source, lang, version, count(*) AS docs, sum(tokens)::BIGINT AS tokens FROM (
+        SELECT source, lang, 'words-0' AS version, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS tokens FROM documents d WHERE text IS NULL OR doc_id = (SELECT min(doc_id) FROM documents e WHERE e.text = d.text)
+        UNION ALL
+        SELECT source, lang, 'letters-2', coalesce(len(regexp_extract_all(text, '\p{L}+')), 0) FROM documents d WHERE text IS NULL OR doc_id = (SELECT min(doc_id) FROM documents e WHERE e.text = d.text)
+    ) GROUP BY 1, 2, 3
+"""

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from zlib import crc32
@@ -23,13 +24,13 @@ from pyspark.sql import functions as F
 
 from .common import held_out, materialize, seeded, small, small_batches
 
-#: Labelled rows that are learnt from, and terms of the lexicon, at most.
-SAMPLE_ROWS, LEXICON_TERMS = 40_000, 4096
+#: Labelled rows that are learnt from at most.
+SAMPLE_ROWS = 40_000
 #: A term is taken if this likelihood ratio statistic and this share of toxic rows are reached.
 LEAST_GAIN, LEAST_SHARE = 20.0, 0.9
 STEM_LENGTHS = (4, 5, 6, 7)
-#: A term with more clean words than this within its edits is matched only as it is spelt.
-CLEAN_NEIGHBOURS = 2
+#: A term is matched only as it is spelt if words within its edits are in so many clean rows, against its own share of toxic rows.
+NEAR_SHARE = 0.1
 #: Words on each side of a match that weigh it.
 WINDOW = 8
 #: Words, and automaton states, that a worker remembers.
@@ -264,8 +265,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, se
 
     Terms are counted over those rows by distinct marks of their texts, so a group of
     copies counts as one text. Every term with enough toxic rows is held against the
-    clean rows, on the executors. What reaches the driver is the terms that pass, a few
-    clean words for each that is taken, a number a sampled row and PLACES numbers at most.
+    clean rows, on the executors. What reaches the driver is the terms that pass, the clean
+    words near to them, a number a sampled row and PLACES numbers at most.
     """
     with small_batches(docs.sparkSession):
         return _learn(docs, labels, sample_rows, seed, id_col, text_col, label_col)
@@ -312,7 +313,7 @@ def _learn(docs: DataFrame, labels: DataFrame, sample_rows: int, seed: int, id_c
     # A longer stem adds nothing to a shorter one that is as surely toxic; a word does, as it may be misspelt.
     share = {t: p / (p + g) for t, (p, g) in good.items()}
     kept = [t for t in good if not t.endswith("*") or not any(t.rstrip("*")[:k] + "*" in good and share[t.rstrip("*")[:k] + "*"] >= share[t] for k in STEM_LENGTHS if k < len(t.rstrip("*")))]
-    kept = sorted(kept, key=lambda t: (-good[t][0], t))[:LEXICON_TERMS]
+    kept.sort(key=lambda t: (-good[t][0], t))
     odds = lambda t: (good[t][0] + 0.5) / (all_pos + 1) * (all_neg + 1) / (good[t][1] + 0.5)
     weights = [max(0.2, min(1.5, math.log(odds(t)) / 6)) for t in kept]
     model = Model(kept, weights)
@@ -321,16 +322,20 @@ def _learn(docs: DataFrame, labels: DataFrame, sample_rows: int, seed: int, id_c
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), COUNTED_ROWS):
-                words = {w for text in batch.column(0).slice(at, COUNTED_ROWS) for w in TOKEN.findall(text.as_py().lower())}
-                found = [(w, kept[f[1]]) for w in words if (f := automaton.match(w)) and f[0]]
-                yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.string()) for k in (0, 1)], names=["word", "term"])
-
-    unsure = rows.where("label = 0").select("body").mapInArrow(near, "word string, term string").distinct()
-    unsure = materialize(unsure, "unsure")
-    model.exact = frozenset(r["term"] for r in unsure.groupBy("term").count().where(F.col("count") > CLEAN_NEIGHBOURS).collect())
-    sure = F.col("term").isin(list(model.exact)) if model.exact else F.lit(False)
-    model.clean = frozenset(r["word"] for r in unsure.where(~sure).collect())
+            found = []
+            for text, label in zip(batch.column(0), batch.column(1), strict=True):
+                matched = ((w, automaton.match(w)) for w in set(TOKEN.findall(text.as_py().lower())))
+                found += [(w, kept[m[1]], label.as_py()) for w, m in matched if m and m[0]]
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64()))], names=["word", "term", "label"])
+
+    # A misspelt term is in more toxic than clean rows, for its share of them; a word that is not is a word of its own.
+    unsure = rows.mapInArrow(near, "word string, term string, label long").groupBy("word", "term").agg(F.sum("label").alias("p"), F.count_if(F.col("label") == 0).alias("g"))
+    unsure = unsure.where("g > 0").withColumn("own", F.col("g") / all_neg >= F.col("p") / all_pos).collect()
+    model.clean = frozenset(r["word"] for r in unsure if r["own"])
+    crowd = Counter()
+    for r in unsure:
+        crowd[r["term"]] += r["g"]
+    model.exact = frozenset(t for t, g in crowd.items() if g / all_neg > NEAR_SHARE * good[t][0] / all_pos)
     points = scored(rows.withColumn("k", F.monotonically_increasing_id()), model, "k", "body", ["label"]).select("total", "label").collect()
     model.bias, model.slope = fit_curve([r["total"] for r in points], [r["label"] for r in points])
     model._known.clear()

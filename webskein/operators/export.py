@@ -39,6 +39,10 @@ def tag_rows(tag_counts: DataFrame) -> DataFrame:
     return tag_counts.select("id", "name", "resource_count")
 
 
+def tag_json(tag_counts: DataFrame) -> DataFrame:
+    return tag_counts.select(F.to_json(F.struct("id", "name", "resource_count")).alias("value"))
+
+
 def event_json(events: DataFrame) -> DataFrame:
     return events.select(F.to_json(F.struct(*events.columns)).alias("value"))
 

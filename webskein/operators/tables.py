@@ -6,9 +6,13 @@ rows left. Results are DataFrames; the caller writes them.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .stored import stored
+
 
 def insert_if_absent(existing: DataFrame, batch: DataFrame, key: list[str], seq: str) -> DataFrame:
     """The rows of a batch that an insert would add: the first of each key that is not there yet."""
@@ -45,22 +49,111 @@ LIST_ITEM_DNA = "T1_L1_I1_S0"
 
 
 def dedupe_resources(rows: DataFrame, mode: str = "dna") -> DataFrame:
-    """One row for each group of a scan: of equal content_dna ("dna") or of equal title fingerprints ("title").
+    """One row for each group of a scan: of equal content_dna ("dna"), of equal title fingerprints ("title"), or of either ("either").
 
-    The first row by seq stays, its counters the greatest of the group's and tags the
-    union. Blank keys and the signature of list items group nothing.
+    The first row by seq stays, its counters the greatest of the group's and tags, if rows
+    have them, the sorted union; merged says how many rows it stands for. Blank keys and the signature of
+    list items group nothing. With "either" rows come one after the other, as they are
+    saved: a row goes to the first row kept so far that has its title or its signature,
+    or is kept.
     """
     from ..functions.text import title_fingerprint
 
-    value = F.col("content_dna") if mode == "dna" else title_fingerprint(F.col("title"))
-    blank = value.isNull() | (value == "") | (value == LIST_ITEM_DNA)
-    key = F.when(blank, F.concat(F.lit("row:"), F.col("seq"))).otherwise(F.concat(F.lit("key:"), value))
-    kept = ["id", "url", "title", "category"]
-    out = rows.withColumn("__key", key).groupBy("scan_job_id", "__key").agg(
+    keys = {"dna": F.col("content_dna"), "title": title_fingerprint(F.col("title"))}
+    keys = {n: F.when((v != "") & (v != LIST_ITEM_DNA), v) for n, v in keys.items() if mode in (n, "either")}
+    keyed = rows.withColumns({f"__{n}": v for n, v in keys.items()})
+    if mode == "either":
+        led = _first_come(keyed.select("scan_job_id", "seq", "__dna", "__title"))
+        keyed = keyed.join(led, ["scan_job_id", "seq"])
+        group = F.col("__leader").cast("string")
+    else:
+        group = F.coalesce(F.concat(F.lit("key:"), F.col(f"__{mode}")), F.concat(F.lit("row:"), F.col("seq")))
+    kept, tags = ["id", "url", "title", "category"], []
+    if "tags" in rows.columns:
+        tags = [F.array_sort(F.array_distinct(F.flatten(F.collect_set("tags")))).alias("tags")]
+    out = keyed.withColumn("__key", group).groupBy("scan_job_id", "__key").agg(
         F.min_by(F.struct(*kept), "seq").alias("r"), F.max("views").alias("views"), F.max("likes").alias("likes"), F.max("hearts").alias("hearts"),
-        F.count("*").alias("merged"),
+        *tags, F.count("*").alias("merged"),
     )
-    return out.select("scan_job_id", *[F.col(f"r.{c}").alias(c) for c in kept], "views", "likes", "hearts", "merged")
+    return out.select("scan_job_id", *[F.col(f"r.{c}").alias(c) for c in kept], "views", "likes", "hearts", *(["tags"] if tags else []), "merged")
+
+
+def _first_come(rows: DataFrame) -> DataFrame:
+    """(scan_job_id, seq, __leader): the row that each goes to. Which rows are kept is found in rounds: of the open rows, one
+    that is the first of both of its keys is kept, and those that share a key with it are not; few rounds leave none open."""
+    names, row = ("__dna", "__title"), ["scan_job_id", "seq"]
+
+    def beside(left: DataFrame, right: DataFrame, out: str) -> DataFrame:
+        """left with the least seq of right in each of the two keys, as <out><key>."""
+        for n in names:
+            left = left.join(right.where(F.col(n).isNotNull()).groupBy("scan_job_id", n).agg(F.min("seq").alias(out + n)), ["scan_job_id", n], "left")
+        return left
+
+    open_rows, kept = stored(rows), []
+    while open_rows.limit(1).count():
+        first = beside(open_rows, open_rows, "first")
+        leads = [F.coalesce(F.col(f"first{n}"), F.col("seq")) == F.col("seq") for n in names]
+        kept.append(stored(first.where(leads[0] & leads[1]).select(*row, *names)))
+        left = beside(open_rows.join(kept[-1].select(*row), row, "left_anti"), kept[-1], "to")
+        open_rows = stored(left.where("to__dna is null and to__title is null").select(*row, *names))
+    if not kept:
+        return rows.select(*row, F.col("seq").alias("__leader"))
+    led = beside(rows, reduce(DataFrame.unionByName, kept), "to")
+    earlier = [F.when(F.col(f"to{n}") <= F.col("seq"), F.col(f"to{n}")) for n in names]
+    return led.select(*row, F.coalesce(F.least(*earlier), F.col("seq")).alias("__leader"))
+
+
+def vault_sync(vault: DataFrame | None, resources: DataFrame, resource_tags: DataFrame, seen_at: Column) -> DataFrame:
+    """All resources there are, with their tags joined by ", ", merged into the vault in order of id. resources: id, url,
+    title, cover_url, category, content_fingerprint, popularity_score; resource_tags: id, name."""
+    joined = resource_tags.groupBy("id").agg(F.array_join(F.sort_array(F.collect_set("name")), ", ").alias("tags"))
+    batch = resources.join(joined, "id", "left").withColumns({"tags": F.coalesce("tags", F.lit("")), "seen_at": seen_at, "seq": F.col("id")})
+    return vault_merge(vault, batch.select("url", "title", "cover_url", "category", "tags", "content_fingerprint", "popularity_score", "seen_at", "seq"))
+
+
+def vault_recent(vault: DataFrame, k: int | None = 1000) -> DataFrame:
+    """The vault, rows that changed last first; of equals by URL."""
+    ordered = vault.orderBy(F.desc("last_updated_at"), "url")
+    return ordered if k is None else ordered.limit(k)
+
+
+def known_pages(pages: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(scan_job_id, url, id) of the wanted (scan_job_id, url) that are stored, the least id of each."""
+    return pages.join(wanted.select("scan_job_id", "url").distinct(), ["scan_job_id", "url"], "left_semi").groupBy("scan_job_id", "url").agg(F.min("id").alias("id"))
+
+
+def updated(rows: DataFrame, changes: DataFrame, key: str = "id", seq: str = "seq") -> DataFrame:
+    """Rows with the columns that changes (key, seq, some columns) set, null leaving a column as it is; of several changes
+    of a column the last. Changes of rows that are not there do nothing."""
+    names = [c for c in changes.columns if c not in (key, seq)]
+    last = changes.groupBy(key).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(seq))).alias(f"__{c}") for c in names])
+    new = {c: F.coalesce(F.col(f"__{c}"), F.col(c)) for c in names}
+    return rows.join(last, key, "left").select(*[new.get(c, F.col(c)).alias(c) for c in rows.columns])
+
+
+def pending_pages(pages: DataFrame) -> DataFrame:
+    return pages.where("status = 'pending'").select("scan_job_id", "url", "depth", "id")
+
+
+def with_status(rows: DataFrame, *wanted: str) -> DataFrame:
+    """Rows of the given states; all without any."""
+    return rows.where(F.col("status").isin(*wanted)) if wanted else rows
+
+
+def newest_first(rows: DataFrame, at: str = "created_at", tie: str = "id") -> DataFrame:
+    """Scans or watched URLs as they are listed: newest first, of equals the last added."""
+    return rows.orderBy(F.desc(at), F.desc(tie))
+
+
+def scan_start(wanted: DataFrame, max_pages: int = 200, max_depth: int = 3) -> DataFrame:
+    """The scans that requests (url and, null for the default, max_pages, max_depth) start: entry_url, domain, max_pages,
+    max_depth, status pending. A request whose URL can't be one, or whose limits are not positive, starts none."""
+    from ..functions.urls import entry_url, netloc
+
+    entry = F.expr("entry_url")
+    rows = wanted.withColumn("entry_url", entry_url(F.col("url"))).where("entry_url is not null")
+    rows = rows.select(entry, netloc(entry).alias("domain"), F.coalesce("max_pages", F.lit(max_pages)).alias("max_pages"), F.coalesce("max_depth", F.lit(max_depth)).alias("max_depth"), F.lit("pending").alias("status"))
+    return rows.where("max_pages > 0 and max_depth >= 0")
 
 
 def cascade_delete(tables: dict[str, DataFrame], job: int) -> dict[str, DataFrame]:
@@ -87,6 +180,15 @@ def watchlist_upsert(existing: DataFrame | None, batch: DataFrame) -> DataFrame:
     return rows.groupBy("url").agg(F.max_by("label", "seq").alias("label"), F.max_by("frequency_hours", "seq").alias("frequency_hours"), F.min_by("created_at", "seq").alias("created_at"))
 
 
+def watchlist_apply(watched: DataFrame, commands: DataFrame) -> DataFrame:
+    """The watchlist after commands (id, command, at, seq): "delete" takes a row away, "touch" sets last_scanned_at; nothing
+    that follows a delete brings a row back."""
+    gone = commands.where("command = 'delete'").select("id").distinct()
+    last = commands.where("command = 'touch'").groupBy("id").agg(F.max_by("at", "seq").alias("__at"))
+    left = watched.join(gone, "id", "left_anti").join(last, "id", "left")
+    return left.withColumn("last_scanned_at", F.coalesce("__at", "last_scanned_at")).drop("__at")
+
+
 def site_profiles(rows: DataFrame) -> DataFrame:
     """By domain: how often a profile was saved, its last container selector, its first title selector, its last time."""
     return rows.groupBy("domain").agg(
@@ -106,6 +208,12 @@ def cache_alive(cache: DataFrame, now: Column, days: int = 7) -> DataFrame:
     return cache.where(F.col("cached_at") >= F.timestamp_add("DAY", F.lit(-days), now))
 
 
+def housekeeping(cache: DataFrame, path: str, now: Column, days: int = 7, files: int = 1) -> DataFrame:
+    """Write what is alive of a cache anew under a path, in so many files, and read it: old rows and small files go."""
+    cache_alive(cache, now, days).repartition(files).write.mode("overwrite").parquet(path)
+    return cache.sparkSession.read.parquet(path)
+
+
 def cache_metrics(cache: DataFrame) -> DataFrame:
     return cache.agg(F.count("*").alias("entries"), F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("bytes"))
 
