@@ -411,14 +411,20 @@ class Join:
 
         # 3. the postings between what is still apart
         posts = self.apart(posts, merged)
-        # Components of a list are paired by what the best of their classes could share; only classes of such pairs meet.
-        best = posts.groupBy("list", "comp", "band").agg(F.min("n").alias("n"), F.max(F.col("n") - F.col("at")).alias("left"))
-        near = best.select("list", "comp", "band", "n", "left", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)).alias("other"))
-        both = near.join(best.toDF("l_", "comp_", "band_", "n_", "left_"), (F.col("list") == F.col("l_")) & (F.col("other") == F.col("band_")) & (F.col("comp") < F.col("comp_")) & self.room())
-        one = both.select("list", "comp", "band", "comp_", "band_").join(posts.withColumnRenamed("node", "a"), ["list", "comp", "band"])
-        two = posts.select(F.col("list").alias("l_"), F.col("comp").alias("c_"), F.col("band").alias("b_"), F.col("node").alias("b"), F.col("n").alias("n_"), (F.col("n") - F.col("at")).alias("left_"))
-        same = (F.col("list") == F.col("l_")) & (F.col("comp_") == F.col("c_")) & (F.col("band_") == F.col("b_"))
-        cross = one.withColumn("left", F.col("n") - F.col("at")).join(two, same & self.room()).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        # Two classes have room for enough common tokens if each has it for the size of the other. So classes of one size
+        # and component are paired by the one with most room, and of those only classes that have it themselves are taken.
+        spare = (100 + self.percent) * (F.col("n") - F.col("at")).cast("long") - self.percent * F.col("n").cast("long")
+        posts = posts.withColumn("spare", spare)
+        best = posts.groupBy("list", "comp", "band", "n").agg(F.max("spare").alias("spare"))
+        near = best.withColumn("other", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)))
+        mutual = (F.col("spare") >= self.percent * F.col("n_").cast("long")) & (F.col("spare_") >= self.percent * F.col("n").cast("long"))
+        both = near.join(best.toDF("l_", "comp_", "band_", "n_", "spare_"), (F.col("list") == F.col("l_")) & (F.col("other") == F.col("band_")) & (F.col("comp") < F.col("comp_")) & mutual)
+        one = posts.select(F.col("list").alias("l1"), F.col("comp").alias("c1"), F.col("n").alias("n1"), F.col("node").alias("a"), F.col("spare").alias("s1"))
+        mine = (F.col("list") == F.col("l1")) & (F.col("comp") == F.col("c1")) & (F.col("n") == F.col("n1")) & (F.col("s1") >= self.percent * F.col("n_").cast("long"))
+        one = both.select("list", "comp", "n", "comp_", "n_").join(one, mine).select("list", "n", "comp_", "n_", "a")
+        two = posts.select(F.col("list").alias("l2"), F.col("comp").alias("c2"), F.col("n").alias("n2"), F.col("node").alias("b"), F.col("spare").alias("s2"))
+        theirs = (F.col("list") == F.col("l2")) & (F.col("comp_") == F.col("c2")) & (F.col("n_") == F.col("n2")) & (F.col("s2") >= self.percent * F.col("n").cast("long"))
+        cross = one.join(two, theirs).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         more = self.gathered(self.filtered(cross, "cross"))
         if not more.limit(1).count():
             return merged
