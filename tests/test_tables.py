@@ -95,3 +95,13 @@ def test_modular_engine_reads_jsonld_in_order():
     row = extract.parse_page(html, "https://e.com/a", "modular")["resources"][0]
     assert (row["title"], row["cover_url"], row["views"]) == ("two", "https://e.com/1.jpg", 0)
     assert row["provenance"]["title"] == "jsonld" and row["provenance"]["views"] == "missing"
+
+
+def test_vault_sync_takes_tags_from_their_table(spark):
+    """Resources may have a column of tags of their own; it is not read."""
+    r = spark.createDataFrame([(1, "u1", "a", "", "c", "", 2.0, ["no"]), (2, "u2", "b", "", "c", "", 1.0, ["no"])], "id long, url string, title string, cover_url string, category string, content_fingerprint string, popularity_score double, tags array<string>")
+    t = spark.createDataFrame([(1, "y"), (1, "x"), (1, "x")], "id long, name string")
+    at = F.lit("2024-01-01").cast("timestamp")
+    once = tables.vault_sync(None, r, t, at)
+    for got in (once, tables.vault_sync(once, r, t, at)):
+        assert sorted((v.url, v.tags, v.popularity_score) for v in got.collect()) == [("u1", "x, y", 2.0), ("u2", "", 1.0)]

@@ -105,9 +105,10 @@ def _first_come(rows: DataFrame) -> DataFrame:
 
 def vault_sync(vault: DataFrame | None, resources: DataFrame, resource_tags: DataFrame, seen_at: Column) -> DataFrame:
     """All resources there are, with their tags joined by ", ", merged into the vault in order of id. resources: id, url,
-    title, cover_url, category, content_fingerprint, popularity_score; resource_tags: id, name."""
+    title, cover_url, category, content_fingerprint, popularity_score, other columns are not read; resource_tags: id, name."""
     joined = resource_tags.groupBy("id").agg(F.array_join(F.sort_array(F.collect_set("name")), ", ").alias("tags"))
-    batch = resources.join(joined, "id", "left").withColumns({"tags": F.coalesce("tags", F.lit("")), "seen_at": seen_at, "seq": F.col("id")})
+    own = resources.select("id", "url", "title", "cover_url", "category", "content_fingerprint", "popularity_score")
+    batch = own.join(joined, "id", "left").withColumns({"tags": F.coalesce("tags", F.lit("")), "seen_at": seen_at, "seq": F.col("id")})
     return vault_merge(vault, batch.select("url", "title", "cover_url", "category", "tags", "content_fingerprint", "popularity_score", "seen_at", "seq"))
 
 
