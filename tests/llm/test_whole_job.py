@@ -1,5 +1,6 @@
 """What operators once did less than wholly: all links, rare terms, long lengths, the rows of the mix."""
 
+import collections
 import itertools
 import random
 
@@ -49,3 +50,24 @@ def test_long_lengths_have_least_padding(spark):
     d = spark.createDataFrame([(i, 10_003 if i == 5 else 10_000) for i in range(6)], "doc_id long, n long")
     got = packing.pack_batches(d, n_buckets=2, length=F.col("n")).collect()
     assert len(got) == 6 and sum(r["padding"] for r in got) == 0
+
+
+def test_many_distinct_lengths_stay_exact(spark):
+    """With more than 15,000 distinct lengths, two near ones beyond 4096 words still part where padding is least."""
+    n = F.when(F.col("id") < 15_200, F.col("id") + 1).when(F.col("id") < 35_200, 100_000).otherwise(100_050)
+    got = packing.pack_batches(spark.range(35_600).select("id", n.alias("n")), length=F.col("n"), id_col="id")
+    uppers = {r.bucket_length for r in got.where("length >= 100000").select("bucket_length").distinct().collect()}
+    assert uppers == {100_000, 100_050}
+
+
+def test_batches_do_not_depend_on_lanes(spark, monkeypatch):
+    """However many tasks number a bucket, its rows make the same batches, of which one at most is not full."""
+    d = spark.range(5_000).select(F.col("id").alias("doc_id"), (F.col("id") % 7 + 1).alias("n"))
+    runs = []
+    for rows in (50_000, 300):
+        monkeypatch.setattr(packing, "ROWS_PER_LANE", rows)
+        runs.append(sorted(packing.pack_batches(d, n_buckets=2, batch_tokens=100, length=F.col("n")).collect()))
+    assert runs[0] == runs[1] and len(runs[0]) == 5_000
+    full = collections.Counter(r.batch for r in runs[1])
+    for bucket, upper in {(r.bucket, r.bucket_length) for r in runs[1]}:
+        assert sum(n < 100 // upper for b, n in full.items() if b.startswith(f"{bucket}-")) <= 1
