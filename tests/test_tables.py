@@ -105,3 +105,10 @@ def test_vault_sync_takes_tags_from_their_table(spark):
     once = tables.vault_sync(None, r, t, at)
     for got in (once, tables.vault_sync(once, r, t, at)):
         assert sorted((v.url, v.tags, v.popularity_score) for v in got.collect()) == [("u1", "x, y", 2.0), ("u2", "", 1.0)]
+
+
+def test_the_whole_vault_is_listed(spark):
+    """More rows than a page shows: none is left out, and they come in order."""
+    vault = spark.range(2_500).select(F.concat(F.lit("u"), F.lpad(F.col("id").cast("string"), 4, "0")).alias("url"), F.timestamp_seconds(F.col("id") % 3).alias("last_updated_at"))
+    got = [r.url for r in tables.vault_recent(vault).collect()]
+    assert got == [f"u{i:04}" for left in (2, 1, 0) for i in range(2_500) if i % 3 == left]

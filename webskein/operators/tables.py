@@ -112,10 +112,9 @@ def vault_sync(vault: DataFrame | None, resources: DataFrame, resource_tags: Dat
     return vault_merge(vault, batch.select("url", "title", "cover_url", "category", "tags", "content_fingerprint", "popularity_score", "seen_at", "seq"))
 
 
-def vault_recent(vault: DataFrame, k: int | None = 1000) -> DataFrame:
-    """The vault, rows that changed last first; of equals by URL."""
-    ordered = vault.orderBy(F.desc("last_updated_at"), "url")
-    return ordered if k is None else ordered.limit(k)
+def vault_recent(vault: DataFrame) -> DataFrame:
+    """The whole vault, rows that changed last first; of equals by URL."""
+    return vault.orderBy(F.desc("last_updated_at"), "url")
 
 
 def known_pages(pages: DataFrame, wanted: DataFrame) -> DataFrame:
